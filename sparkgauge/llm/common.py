@@ -40,8 +40,8 @@ def release(spark: SparkSession) -> None:
             fs.delete(status.getPath(), True)
 
 
-def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """rows left-joined with groups, which has one row per key and in ``count`` the rows of that key.
+def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
+    """rows joined with groups (left or inner), which has one row per key and in ``count`` the rows of that key.
 
     A key with more than 1/HEAVY_SHARE of all rows would land in one task. There are fewer than
     HEAVY_SHARE such keys whatever the input, so these few groups are broadcast, and their rows
@@ -58,7 +58,7 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> D
     on = _same(keys)
     done = rows.join(F.broadcast(heavy), on).select(*rows.columns, *gained)
     rest = rows.join(F.broadcast(heavy.select([f"__g_{c}" for c in keys])), on, "left_anti")
-    return done.unionByName(rest.join(light, on, "left").select(*rows.columns, *gained))
+    return done.unionByName(rest.join(light, on, how).select(*rows.columns, *gained))
 
 
 def _same(keys: list[str]) -> Column:

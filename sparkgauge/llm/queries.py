@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, url_rules, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, packing, secret_scan, substring_dedup, url_rules, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +17,42 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of at most 2048 tokens."""
+    packed = packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decide on all documents against a fresh index."""
     return exact_dedup.exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_uid")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan all documents for secrets."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", secret_scan.secret_spans(F.col("text")).alias("found"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secret_scan.joined(F.filter("found", lambda s: s["kind"] != "guess"))
+    return rows.select("doc_id", *[count(k) for k in secret_scan.KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated lines and sentences of all documents."""
+    return substring_dedup.repeated_units(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_uid")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of all documents."""
+    return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge all page urls."""
     pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
@@ -39,8 +70,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("read_turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontaminate.leaks(docs, benchmark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_warc, op3_exact_dedup, op7_url_filter, op8_chat_format)}
+    return {q.__name__: q for q in (op1_warc, op2_best_fit_packing, op3_exact_dedup, op4_secret_scan, op5_substring_dedup, op6_language_id, op7_url_filter, op8_chat_format, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
