@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, packing, secret_scan, substring_dedup, url_rules, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, ngram_join, packing, secret_scan, substring_dedup, url_rules, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("read_turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, links and groups of all documents at five-word similarity 0.8."""
+    return ngram_join.jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_uid")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents hold."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
@@ -77,7 +82,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_warc, op2_best_fit_packing, op3_exact_dedup, op4_secret_scan, op5_substring_dedup, op6_language_id, op7_url_filter, op8_chat_format, op10_decontaminate)}
+    return {q.__name__: q for q in (op1_warc, op2_best_fit_packing, op3_exact_dedup, op4_secret_scan, op5_substring_dedup, op6_language_id, op7_url_filter, op8_chat_format, op9_ngram_jaccard_join, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
