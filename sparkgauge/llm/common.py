@@ -61,6 +61,24 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, how:
     return done.unionByName(rest.join(light, on, how).select(*rows.columns, *gained))
 
 
+def keep_rows(docs: DataFrame, decided: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of docs that decided keeps, with their own columns.
+
+    keys gives, for columns of decided, their expressions on docs; decided has a row with ``kept`` for each row of docs.
+    Where several rows of docs have equal keys, and so equal ids and texts, one of them stays.
+    """
+    flags = decided.groupBy(*[F.col(c).alias(f"__g_{c}") for c in keys]).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
+    flags = materialize(flags.where("__kept").drop("__kept"), "kept")
+    cond = F.lit(True)
+    for c, expr in keys.items():
+        cond = cond & expr.eqNullSafe(F.col(f"__g_{c}"))
+    met = docs.join(flags, cond)
+    if flags.where(F.col("__n") > 1).isEmpty():
+        return met.select(*docs.columns)
+    single = met.where(F.col("__n") == 1).select(*docs.columns)
+    return single.unionByName(met.where(F.col("__n") > 1).dropDuplicates([f"__g_{c}" for c in keys]).select(*docs.columns))
+
+
 def _same(keys: list[str]) -> Column:
     cond = F.lit(True)
     for c in keys:

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize
+from .common import keep_rows, lookup, materialize
 
 
 def normalise(text: Column) -> Column:
@@ -77,3 +77,8 @@ class DigestIndex:
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """Decisions for all docs, against a fresh index unless one is given. See DigestIndex.add."""
     return (index or DigestIndex.fresh(docs.sparkSession)).add(docs)
+
+
+def distinct_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The rows of docs that stay, with their own columns."""
+    return keep_rows(docs, exact_dedup(docs, index), {"doc_id": F.col("doc_id"), "text_sha256": digest(F.col("text"))})

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 DIMENSIONS, SEED = 512, 20240607
 UNDETERMINED = "und"
+#: A text is rejected as none of the languages below this cosine; chance alone gives 1 / sqrt(DIMENSIONS), 0.044.
+MIN_SCORE = 0.1
 #: Prototypes are sent to every task; each takes 4 bytes a dimension, and more languages than this are refused.
 MAX_LANGUAGES = 5000
 #: Trigram vectors a task keeps (1 byte a dimension); beyond it, it starts anew.
@@ -176,3 +178,10 @@ def identify(docs: DataFrame) -> DataFrame:
     guess = predict(F.col("text").cast("string"))
     rows = docs.drop("held_out", "lang_pred", "score", "__guess").withColumn("__guess", guess)
     return rows.withColumns({"held_out": held_out(F.col("doc_id")), "lang_pred": F.col("__guess.lang"), "score": F.col("__guess.score")}).drop("__guess")
+
+
+def in_some_language(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs, with their own columns, whose text is in one of the languages learned from docs."""
+    predict = predictor(learn(docs.where(~held_out(F.col("doc_id"))).select("lang", "text")))
+    rows = docs.withColumn("__guess", predict(F.col("text").cast("string")))
+    return rows.where((F.col("__guess.lang") != UNDETERMINED) & (F.col("__guess.score") >= least)).drop("__guess")

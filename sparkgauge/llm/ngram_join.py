@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize
+from .common import keep_rows, lookup, materialize
 from .components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -219,8 +219,12 @@ def _compare(threshold: float, tolerance: float):
     return run
 
 
+def _row_key() -> dict[str, Column]:
+    return {"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, class_id, class_size, n_links, n_link_docs, group_id, group_size, kept.
+    """One row per row of docs (doc_id, text): doc_id, row_uid, text_hash, class_id, class_size, n_links, n_link_docs, group_id, group_size, kept.
 
     class_id is the smallest doc_id of the texts with the same shingle set, n_links the number of other classes at the threshold or
     above, n_link_docs their rows. group_id is the smallest doc_id that links lead to, group_size the group's rows; kept is true of
@@ -228,7 +232,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     one shingle; texts without a word (null, empty) are one class without links. Rows of one doc_id and text are copies like any other.
     Null doc_ids come after all others. Other columns are ignored. An empty table gives no rows.
     """
-    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")]
+    key = [c.alias(n) for n, c in _row_key().items()]
     worded = docs.select(*key, word_hashes(F.col("text").cast("string")).alias("words"))
     sketches = materialize(worded.mapInArrow(_sketch, "doc_id long, text_hash long, print binary, size int, signature binary").withColumn("row_uid", F.monotonically_increasing_id()), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_uid", "text_hash"))
@@ -269,5 +273,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     of_group = materialize(ranked.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("no_id"), "class_id", "class_uid")).alias("g"), F.sum("copies").alias("group_size"), F.count("*").alias("n_classes")), "groups")
     result = lookup(ranked, of_group, ["component"], "n_classes")
     result = materialize(result.select("print", "class_id", F.col("copies").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_link_docs", F.lit(0)).alias("n_link_docs"), F.col("g.class_id").alias("group_id"), F.col("g.class_uid").alias("group_uid"), "group_size"), "class-results")
-    out = lookup(sketches.select("doc_id", "row_uid", "print"), result, ["print"], "class_size")
-    return out.select("doc_id", "row_uid", "class_id", "class_size", "n_links", "n_link_docs", "group_id", "group_size", (F.col("row_uid") == F.col("group_uid")).alias("kept"))
+    out = lookup(sketches.select("doc_id", "row_uid", "text_hash", "print"), result, ["print"], "class_size")
+    return out.select("doc_id", "row_uid", "text_hash", "class_id", "class_size", "n_links", "n_link_docs", "group_id", "group_size", (F.col("row_uid") == F.col("group_uid")).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of docs that are kept, with their own columns."""
+    return keep_rows(docs, jaccard_join(docs, threshold, tolerance), _row_key())

@@ -17,7 +17,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -25,7 +25,7 @@ def _tokenizer() -> str:
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 2048 tokens."""
-    packed = packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
+    packed = packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer())
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
@@ -72,7 +72,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes, links and groups of all documents at five-word similarity 0.8."""
-    return ngram_join.jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_uid")
+    return ngram_join.jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_uid", "text_hash")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
