@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB counterparts."""
 
-from . import relational, shapes, statistics  # noqa: F401
+from . import relational, shapes, statistics, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
