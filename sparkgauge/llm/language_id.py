@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 DIMENSIONS, SEED = 512, 20240607
 UNDETERMINED = "und"
-#: A text is rejected as none of the languages below this cosine; chance alone gives 1 / sqrt(DIMENSIONS), 0.044.
-MIN_SCORE = 0.1
+#: A text of so many letters is rejected as none of the languages below this cosine; chance alone gives about
+#: 1 / sqrt(DIMENSIONS), 0.044. Shorter texts have too few trigrams for their cosine to tell, and stay.
+MIN_SCORE, MIN_LETTERS = 0.2, 100
 #: Prototypes are sent to every task; each takes 4 bytes a dimension, and more languages than this are refused.
 MAX_LANGUAGES = 5000
 #: Trigram vectors a task keeps (1 byte a dimension); beyond it, it starts anew.
@@ -181,7 +182,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def in_some_language(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs, with their own columns, whose text is in one of the languages learned from docs."""
+    """The rows of docs, with their own columns, whose text is in one of the languages learned from docs: no ``und``, and no long text near none of them."""
     predict = predictor(learn(docs.where(~held_out(F.col("doc_id"))).select("lang", "text")))
     rows = docs.withColumn("__guess", predict(F.col("text").cast("string")))
-    return rows.where((F.col("__guess.lang") != UNDETERMINED) & (F.col("__guess.score") >= least)).drop("__guess")
+    letters = F.length(F.regexp_replace(F.col("text").cast("string"), r"[^\p{L}]+", ""))
+    return rows.where((F.col("__guess.lang") != UNDETERMINED) & ((F.col("__guess.score") >= least) | (letters < MIN_LETTERS))).drop("__guess")

@@ -61,7 +61,7 @@ def _emit(min_words: int):
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The units to remove: doc_id, row_uid, level, start, end, words, keep_doc_id, keep_start, copies.
 
-    Occurrences rank by doc_id (null last), then row, then place; the first stays, also among repeats within a
+    A line of one sentence and that sentence within a longer line are the same unit. Occurrences rank by doc_id (null last), then row, then place; the first stays, also among repeats within a
     document and among rows with one doc_id. copies counts all occurrences. Offsets are code points of the original
     text, end exclusive. Null and empty texts have no units; other columns are ignored; an empty table gives no rows.
     row_uid is docs' own if it has that column, else a number of this run.
@@ -70,9 +70,9 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), uid.alias("row_uid"), F.col("text").cast("string"))
     found = materialize(rows.mapInArrow(_emit(min_words), UNITS), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_uid", "start")
-    groups = found.groupBy("high", "low", "level").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    groups = materialize(groups.select("high", "low", "level", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.row_uid").alias("keep_uid"), F.col("first.start").alias("keep_start"), "copies"), "repeats")
-    met = lookup(found, groups, ["high", "low", "level"], "copies", how="inner")
+    groups = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
+    groups = materialize(groups.select("high", "low", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.row_uid").alias("keep_uid"), F.col("first.start").alias("keep_start"), "copies"), "repeats")
+    met = lookup(found, groups, ["high", "low"], "copies", how="inner")
     later = (F.col("row_uid") != F.col("keep_uid")) | (F.col("start") != F.col("keep_start"))
     return met.where(later).select("doc_id", "row_uid", "level", "start", "end", "words", "keep_doc_id", "keep_start", "copies")
 
