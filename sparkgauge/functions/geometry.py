@@ -189,4 +189,4 @@ def route_progress(success: Column, started: Column, stop: Column, reference: Co
     """1 for success, 0 if the route was never entered, else the share of the reference's length at the stop's projection."""
     dense = densify(reference, spacing)
     share = F.try_divide(project(stop, dense)["arclength"], length(dense))
-    return F.when(success, F.lit(1.0)).when(~started | stop.isNull(), F.lit(0.0)).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(0.0)))
+    return F.when(success, F.lit(1.0)).when(~started | stop.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0)))))

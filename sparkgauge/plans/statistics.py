@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.estimators import binomial_two_sided, hash_index, pass_at_k
+from ..functions import estimators
+from ..functions.estimators import binomial_two_sided, hash_index
 from .registry import query
 from .relational import SQL_LOADED, SQL_PRICES, prices
 from .views import SQL_ATTEMPTS, SQL_TASKS, SQL_TRIALS, attempts, table, tasks, trials
@@ -44,15 +45,15 @@ SQL_PASS8 = "1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(0, 8
 
 
 @query(f"WITH {SQL_CELLS} SELECT provider, task_id, n, c, round(CASE WHEN n - c < 8 THEN 1 ELSE {SQL_PASS8} END, 6) AS pass8 FROM cells WHERE n >= 8")
-def pass_at_k_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return cells(spark, sf).where(F.col("n") >= 8).select("provider", "task_id", "n", "c", r6(pass_at_k(F.col("n"), F.col("c"), 8)).alias("pass8"))
+def pass_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    return cells(spark, sf).where(F.col("n") >= 8).select("provider", "task_id", "n", "c", r6(estimators.pass_at_k(F.col("n"), F.col("c"), 8)).alias("pass8"))
 
 
 @query(f"""WITH {SQL_CELLS} SELECT provider, round(100 * avg(rate), 1) AS pass1, round(100 * avg(CASE WHEN n >= 8 THEN CASE WHEN n - c < 8 THEN 1 ELSE {SQL_PASS8} END END), 1) AS pass8, sum(n)::BIGINT AS attempts, count(*) AS tasks
     FROM cells GROUP BY provider ORDER BY pass1 DESC, provider""")
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     """Macro pass@1 (mean over tasks of their rates) and pass@8 over tasks with eight attempts, best first."""
-    eight = F.when(F.col("n") >= 8, pass_at_k(F.greatest("n", F.lit(8)), F.col("c"), 8))
+    eight = F.when(F.col("n") >= 8, estimators.pass_at_k(F.greatest("n", F.lit(8)), F.col("c"), 8))
     board = cells(spark, sf).groupBy("provider").agg(F.round(100 * F.avg("rate"), 1).alias("pass1"), F.round(100 * F.avg(eight), 1).alias("pass8"), F.sum("n").alias("attempts"), F.count("*").alias("tasks"))
     return board.orderBy(F.desc("pass1"), "provider")
 
