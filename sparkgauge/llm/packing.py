@@ -11,6 +11,7 @@ rank, are done in the cluster. The outcome is that of best-fit decreasing over a
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,8 +25,6 @@ from .common import materialize
 from .tokens import encoder
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces of one size are ranked in blocks of about so many.
-BLOCK_ROWS = 200_000
 PIECES = "doc_id long, row_uid long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -105,13 +104,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (PIECES; a materialized table) with sequence_id and offset; none has a length over capacity.
 
-    Ties of equal lengths are ranked by doc_id, row_uid and piece within hashed blocks, whose number follows the
-    input, so no task ranks more than a block of a size. An empty table gives none.
+    Ties of equal lengths are ranked by doc_id, row_uid and piece within hashed blocks. A size of n pieces has about
+    sqrt(n) blocks of sqrt(n) pieces, so neither ranking a block nor adding up the blocks before it is
+    large, though all pieces may have one size. An empty table gives none.
     """
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    blocks = max(1, -(-max(counts.values(), default=0) // BLOCK_ROWS))
-    rows = pieces.withColumn("block", F.pmod(F.xxhash64("row_uid", "piece"), F.lit(blocks)))
+    blocks = spark.createDataFrame([(k, math.isqrt(n) + 1) for k, n in counts.items()], "length int, blocks long")
+    rows = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("row_uid", "piece"), "blocks"))
     before = rows.groupBy("length", "block").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).drop("n")
     order = Window.partitionBy("length", "block").orderBy("doc_id", "row_uid", "piece")
     ranked = rows.withColumn("rank", F.row_number().over(order) - 1).join(before, ["length", "block"]).withColumn("rank", F.col("rank") + F.col("before"))
