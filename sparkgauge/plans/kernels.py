@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import generate, raster, resample, select
+from ..operators import generate, raster, render, resample, select
 from ..sources import files
 from ..sources.scratch import cut, fresh_path
 from .registry import query
@@ -110,3 +110,10 @@ def src_gzip_count(spark: SparkSession, sf: str) -> DataFrame:
     files.write_archive(table(spark, sf, "events").select(F.col("event_type").alias("provider"), "event_id"), path)
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), "provider=([^/]*)/", 1).alias("provider"))
     return lines.groupBy("provider").agg(F.count("*").alias("lines"))
+
+
+@query()
+def render_styles(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight worlds in twenty styles, with what certification says."""
+    worlds = cut(generate.build_split(spark, 8).where(F.col("rejection").isNull()), "worlds")
+    return render.render_all(worlds.repartition(8)).drop("png")
