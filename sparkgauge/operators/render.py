@@ -272,3 +272,25 @@ def render_all(worlds: DataFrame, seed: int = 0) -> DataFrame:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in RENDERS.split(", ")])
 
     return worlds.mapInPandas(run, RENDERS)
+
+
+def style_swap(worlds: DataFrame, styles: list[str], seed: int = 0) -> DataFrame:
+    """Worlds in each of some styles, all or nothing: a world of which one style can't be certified is left out.
+
+    The mask and route of a world are the same in all its styles, which is what makes them comparable. The style seed
+    is seed + slot * 1,000,003 + the style's position.
+    """
+    schema = "slot long, style string, mask_sha256 string, png binary"
+
+    def run(batches):
+        for frame in batches:
+            out = []
+            for _, row in frame.iterrows():
+                mask = raster.unpack(row["mask"], row["h"], row["w"])
+                route = [(p["x"], p["y"]) for p in row["route"]]
+                done = [certified(mask, name, seed + int(row["slot"]) * 1_000_003 + k, route[0], route[-1]) for k, name in enumerate(styles)]
+                if raster.first_collision(mask, route) is None and not any(failed for _, _, failed in done):
+                    out += [(int(row["slot"]), name, raster.mask_hash(mask), png(pixels)) for name, (pixels, _, _) in zip(styles, done, strict=True)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return worlds.mapInPandas(run, schema)
