@@ -7,11 +7,17 @@ All of it is higher-order functions, so rows never leave the JVM. Folds whose st
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated a single time, however often use() names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
@@ -70,9 +76,8 @@ def project(p: Column, points: Column, slack: float = 1.0) -> Column:
         return F.struct(F.when(closer, s["before"] + f["t"] * f["len"]).otherwise(s["arc"]).alias("arc"), F.when(closer, f["d"]).otherwise(s["perp"]).alias("perp"), F.when(closer, s["i"]).otherwise(s["seg"]).alias("seg"), (s["before"] + f["len"]).alias("before"), (s["i"] + 1).alias("i"))
 
     # the feet are computed once per segment, then folded in order
-    folded = F.aggregate(F.transform(_pairs(points), feet), start, step)
+    several = F.aggregate(F.transform(_pairs(points), feet), start, step, lambda s: F.struct(s["arc"].alias("arclength"), s["perp"].alias("perpendicular"), s["seg"].alias("segment")))
     alone = F.when(F.size(points) == 1, dist(p, F.get(points, F.lit(0)))).otherwise(0.0)
-    several = F.struct(folded["arc"].alias("arclength"), folded["perp"].alias("perpendicular"), folded["seg"].alias("segment"))
     return F.when(F.size(points) >= 2, several).otherwise(F.struct(F.lit(0.0).alias("arclength"), alone.alias("perpendicular"), F.lit(0).alias("segment")))
 
 
@@ -187,6 +192,5 @@ def affine(points: Column, width: float, height: float, flip: bool = False, quar
 
 def route_progress(success: Column, started: Column, stop: Column, reference: Column, spacing: float = 2.0) -> Column:
     """1 for success, 0 if the route was never entered, else the share of the reference's length at the stop's projection."""
-    dense = densify(reference, spacing)
-    share = F.try_divide(project(stop, dense)["arclength"], length(dense))
+    share = once(densify(reference, spacing), lambda dense: F.try_divide(project(stop, dense)["arclength"], length(dense)))
     return F.when(success, F.lit(1.0)).when(~started | stop.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0)))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import once
+
 # The failure modes in order of precedence, and the patterns that hint at them in a lower-case trace.
 PRECEDENCE = ("procedural_template", "figure_ground_inversion", "endpoint_misidentification", "analytic_parameterisation", "graph_abstraction", "exploration_leakage", "topology_fabrication", "fabricated_verification", "satisficing", "clearance_failure", "corridor_departure", "near_miss_precision", "wrong_branch")
 LEXICAL = {
@@ -67,6 +69,16 @@ LEXICAL = {
     ),
 }
 PERCEPTUAL = (r"\(\s*\d+\s*,\s*\d+\s*\)", r"\b0\.\d{2,}\b", r"\bx\s*[=~]\s*\d", r"\by\s*[=~]\s*\d", r"\b(cyan|amber|teal|orange)\b", r"\b(top|bottom)[- ](left|right)\b")
+#: Without any of these, no pattern of the mode can match: a plain search that spares the patterns.
+HINTS = {
+    "figure_ground_inversion": ("wall", "actually", "instead", "invert", "represent"),
+    "topology_fabrication": ("connect", "teleport", "assume", "there "),
+    "analytic_parameterisation": ("radius", "angle", "polar", "angular", "arc", "clockwise"),
+    "graph_abstraction": ("node", "(start", "(goal", "adjacency"),
+    "exploration_leakage": ("dead", "correct path", "backtrack", "go back", "starting point"),
+    "fabricated_verification": ("check", "verif", "confirm", "collision", "corridor", "this path", "confident", "integrity", "blockage", "obstruction", "each node", "dead end"),
+    "satisficing": ("approximat", "enough", "maybe", "fine", "sure", "commit", "go with", "trust"),
+}
 #: Input and output token counts under the names that vendors give them, first match wins.
 USAGE_IN, USAGE_OUT = ("input_tokens", "prompt_tokens", "prompt_token_count"), ("output_tokens", "completion_tokens", "candidates_token_count")
 
@@ -78,10 +90,17 @@ def _match(text: Column, patterns: tuple[str, ...]) -> Column:
     return found
 
 
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(text, F.lit(w))
+    return found
+
+
 def lexical_hits(trace: Column) -> Column:
     """Modes that a trace hints at, in the table's order; an empty array for null."""
-    low = F.lower(F.coalesce(trace, F.lit("")))
-    return F.array_compact(F.array(*[F.when(_match(low, ps), F.lit(m)) for m, ps in LEXICAL.items()]))
+    hits = lambda low: F.array_compact(F.array(*[F.when(_any(low, HINTS[m]) & _match(low, ps), F.lit(m)) for m, ps in LEXICAL.items()]))
+    return once(F.lower(F.coalesce(trace, F.lit(""))), hits)
 
 
 def quotes(trace: Column, mode: str, around: int = 40) -> Column:
@@ -96,7 +115,7 @@ def quotes(trace: Column, mode: str, around: int = 40) -> Column:
 
 def perceptual(trace: Column) -> Column:
     """Whether a trace names anything it could only have seen."""
-    return F.coalesce(_match(F.lower(trace), PERCEPTUAL), F.lit(False))
+    return F.coalesce(once(F.lower(trace), lambda low: _match(low, PERCEPTUAL)), F.lit(False))
 
 
 def classify(trace: Column, hits: Column, g: dict[str, Column], started: Column, free: Column, progress: Column) -> Column:

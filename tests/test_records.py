@@ -135,3 +135,15 @@ def test_equal_graphs_have_equal_labels(spark):
     renamed = [(9 - a, 9 - b, w) for a, b, w in edges]
     label = lambda e: sorted(r.label for r in graph.wl_labels(spark.createDataFrame(e, "a long, b long, w double")).collect())
     assert label(edges) == label(renamed) != label(edges[:3])
+
+
+def test_hints_never_hide_a_match():
+    import re
+
+    rng = random.Random(3)
+    said = ["walls are paths", "it is actually open", "inverted wall", "bands represent walls", "hidden connection", "teleport", "likely connected", "assume a gap", "there must be a gap", "radius of 3", "step through angles", "polar sweep", "smooth arc", "arc path", "counterclockwise", "at angle 3", "nodes connected", "adjacency", "let's identify nodes", "dead-end avoid", "this is not the correct path", "backtrack", "go back to the start", "from the starting point go", "checked all", "verified the full", "no collision", "stays within the corridor", "this path is safe", "i'm confident in this path", "checking its integrity", "no obstruction along", "each node connects correctly", "can be approximate", "good enough", "maybe so. ok", "fine. ", "not sure so submit", "i'll trust", "approximate route", "no dead ends on the way", "confirmed every"]
+    for mode, patterns in T.LEXICAL.items():
+        for _ in range(300):
+            low = " ".join(rng.sample(said, 3))
+            if any(re.search(p, low) for p in patterns):
+                assert any(h in low for h in T.HINTS[mode]), (mode, low)
