@@ -102,6 +102,7 @@ class Style(NamedTuple):
     edge: float = 2.0
 
 
+# The names of the styles. Their looks are this module's own.
 STYLES: dict[str, Style] = {
     "notebook": Style((0.12, 0.58, 0.12), (0.72, 0.60, 0.99), (("stripes", 26),), edge=4),
     "dungeon-pebble": Style((0.09, 0.09, 0.09), (0.14, 0.55, 0.90), (("speckle", 0.05), ("dots", 40, 3))),
