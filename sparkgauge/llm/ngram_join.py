@@ -31,7 +31,7 @@ HASHES, ROWS = 128, 4
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 32, 1e-6
 #: Classes in a block.
-BLOCK = 256
+BLOCK = 128
 #: Against rounding where whole numbers are compared.
 SLACK = 1e-6
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -262,7 +262,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     texts = docs.select(*key, F.col("text").cast("string").alias("text")).withColumnsRenamed({"doc_id": "t_id", "text_hash": "t_hash"})
     members = texts.join(dealt, F.col("t_id").eqNullSafe(F.col("class_id")) & (F.col("t_hash") == F.col("text_hash"))).select("node", "component", "block", "copies", "signature", "text")
     rows = materialize(members, "members").join(sides, ["component", "block"]).select("component", "left", "right", "side", "node", "copies", "signature", "text")
-    sorted_rows = rows.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right").select("component", "left", "right", "side", "node", "copies", "signature", word_hashes(F.col("text")).alias("words"))
+    # by range, as a hash would put several pairs of a large group in one task
+    sorted_rows = rows.repartitionByRange("component", "left", "right").sortWithinPartitions("component", "left", "right").select("component", "left", "right", "side", "node", "copies", "signature", word_hashes(F.col("text")).alias("words"))
     found = materialize(sorted_rows.mapInArrow(_compare(threshold, tolerance), "node long, links long, link_docs long, root long"), "links")
 
     # counts and groups of the classes that have links
