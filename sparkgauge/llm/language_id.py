@@ -24,6 +24,8 @@ UNDETERMINED = "und"
 MIN_SCORE, MIN_LETTERS = 0.2, 100
 #: Prototypes are sent to every task; each takes 4 bytes a dimension, and more languages than this are refused.
 MAX_LANGUAGES = 5000
+#: Trigrams (8 bytes each) that learning holds before it folds them into counts.
+FOLD_AT = 500_000
 #: Trigram vectors a task keeps (1 byte a dimension); beyond it, it starts anew.
 MAX_CACHED = 40_000
 
@@ -107,14 +109,25 @@ def bundle(grams: np.ndarray, counts: np.ndarray, block: int = 2048) -> np.ndarr
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One vector for each language in a partition; trigram counts are kept and bundled at its end."""
     seen: dict[str, dict[int, int]] = {}
+    waiting: dict[str, list[np.ndarray]] = {}
+    n = 0
+
+    def fold() -> None:
+        for lang, grams in waiting.items():
+            held = seen.setdefault(lang, {})
+            for g, k in zip(*(x.tolist() for x in np.unique(np.concatenate(grams), return_counts=True)), strict=True):
+                held[g] = held.get(g, 0) + k
+        waiting.clear()
+
     for batch in batches:
-        by: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            by.setdefault(lang, []).append(trigrams(text.as_py()))
-        for lang, grams in by.items():
-            held = seen.setdefault(lang, {})
-            for g, n in zip(*(x.tolist() for x in np.unique(np.concatenate(grams), return_counts=True)), strict=True):
-                held[g] = held.get(g, 0) + n
+            grams = trigrams(text.as_py())
+            waiting.setdefault(lang, []).append(grams)
+            n += len(grams)
+            if n >= FOLD_AT:
+                fold()
+                n = 0
+    fold()
     for lang, held in seen.items():
         if held:
             keys = np.array(sorted(held), dtype=np.int64)
