@@ -29,6 +29,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and nothing reads any more; the driver's collection lets Spark drop finished shuffles."""
+    jvm = SparkSession.active().sparkContext._jvm
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(folder))
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables of the operators once their results have been consumed."""
     jvm = spark.sparkContext._jvm

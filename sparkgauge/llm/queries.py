@@ -44,8 +44,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repeated lines and sentences of all documents."""
-    return substring_dedup.repeated_units(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_uid")
+    """The repeated lines, sentences and passages of all documents."""
+    return substring_dedup.repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_uid")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing of lines, sentences and word windows.
 
 Units are lines and the sentences in them, so a passage is found wherever it stands in its line. A unit is
 normalised (lower case, single spaces) and hashed; digests are grouped over all documents; the occurrence
 that comes first stays and the others are removed, with their offsets in the original text retained.
+
+Passages are runs of PASSAGE_WORDS words or more, whatever their lines, sentences and surroundings. Every window
+of that many words has an anchor, the least hash of the shorter windows in it; equal windows have equal anchors, so only
+windows whose anchor occurs again are hashed and grouped, and those that follow one another are merged.
 """
 
 from __future__ import annotations
@@ -11,14 +15,17 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize
+from .common import discard, lookup, materialize
 
 #: Shorter units recur by chance and are left alone.
 MIN_WORDS = 8
+#: Repeated runs of this many words are passages; an anchor is the hash of ANCHOR_WORDS of them.
+PASSAGE_WORDS, ANCHOR_WORDS = 50, 36
 LINE, SENTENCE_END = re.compile(r"[^\n]+"), re.compile(r"(?<=[.!?])\s+")
 
 
@@ -77,13 +84,198 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return met.where(later).select("doc_id", "row_uid", "level", "start", "end", "words", "keep_doc_id", "keep_start", "copies")
 
 
+#: Bases of the rolling hashes, odd so that they have inverses.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+WORD = re.compile(r"\S+")
+
+
+class _Words(dict):
+    """A 64-bit hash of a word; forgotten from time to time, as a corpus has no end of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        out = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        return out
+
+
+class _Rolling:
+    """Hashes of all windows of some length, modulo 2^64."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.grow(1 << 12)
+
+    def grow(self, n: int) -> None:
+        powers = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]), dtype=np.uint64)
+        self.up, self.down = powers(self.base), powers(self.inverse)
+
+    def __call__(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        n = len(hashes)
+        if n > len(self.up):
+            self.grow(2 * n)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.up[:n], dtype=np.uint64)])
+        return (sums[size:] - sums[:-size]) * self.down[: n - size + 1]
+
+
+def _hashes(words: list[str], cache: _Words) -> np.ndarray:
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _slide(best: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The least or largest of every width values in a row, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values, have = best(values[:-step], values[step:]), have + step
+    return values
+
+
+def _least(short: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of each window of size words, and the mixed hashes of the shorter windows."""
+    mixed = _mixed(short)
+    return _slide(np.minimum, mixed, size - anchor + 1), mixed
+
+
+def _chosen(least: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """The shorter windows that are anchors, at each of their places."""
+    edge = np.zeros(len(mixed) - len(least), np.uint64)
+    return mixed[_slide(np.maximum, np.concatenate([edge, least, edge]), len(edge) + 1) == mixed]
+
+
+def _anchors(size: int, anchor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, roll = _Words(), _Rolling(BASES[0])
+        for batch in batches:
+            starts, ends, counts, found = [], [], [], []
+            for text in batch.column("text"):
+                t = text.as_py()
+                words = t.lower().split()
+                if len(words) < size:
+                    starts.append(None), ends.append(None), counts.append(None), found.append(None)
+                    continue
+                chosen = _chosen(*_least(roll(_hashes(words, cache), anchor), size, anchor))
+                starts.append(len(t) - len(t.lstrip())), ends.append(len(t.rstrip())), counts.append(len(words))
+                found.append(chosen.view(np.int64))
+            columns = [batch.column("doc_id"), batch.column("row_uid"), batch.column("body"), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+            out = pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_uid", "body", "start", "end", "words", "anchors"])
+            yield out.filter(out.column("words").is_valid())
+
+    return run
+
+
+WINDOWS = "doc_id long, row_uid long, weight long, at int, start int, end int, after int, high long, low long"
+
+
+def _windows(size: int, anchor: int):
+    """Windows whose anchor is among the given ones; after is where the next word begins."""
+    names = [x.split()[0] for x in WINDOWS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, rolls = _Words(), [_Rolling(b) for b in BASES]
+        for batch in batches:
+            held, n = [], 0
+            for *same, text, given in zip(*(batch.column(c) for c in ("doc_id", "row_uid", "weight", "text", "anchors")), strict=True):
+                t = text.as_py()
+                hashes = _hashes(t.lower().split(), cache)
+                least, _ = _least(rolls[0](hashes, anchor), size, anchor)
+                edges = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+                again = np.isin(least[edges].view(np.int64), given.values.to_numpy())
+                picked = np.flatnonzero(np.repeat(again, np.diff(np.append(edges, len(least)))))
+                if not len(picked):
+                    continue
+                places = np.array([m.span() for m in WORD.finditer(t)], np.int32)
+                after = np.append(places[1:, 0], np.int32(len(t)))
+                high, low = (roll(h, size)[picked].view(np.int64) for roll, h in zip(rolls, (hashes, _mixed(hashes)), strict=True))
+                last = picked + size - 1
+                rest = [picked.astype(np.int32), places[picked, 0], places[last, 1], after[last], high, low]
+                held.append([*(pa.repeat(v, len(picked)) for v in same), *map(pa.array, rest)])
+                n += len(picked)
+                if n > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names=names)
+                    held, n = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names=names)
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+    """Every run of size words or more that an earlier place holds too, in the columns of repeated_units; level is passage.
+
+    Rank and offsets are those of repeated_units. A run ends where the earlier place does, keep_start is where that begins, and copies is
+    the least count of its windows. Where a run overlaps its own earlier place, as in a word said a hundred times,
+    the first size words stay. Later rows of equal text are passages as a whole.
+    """
+    uid = F.col("row_uid") if "row_uid" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long"), uid.alias("row_uid"), F.col("text").cast("string")).where(F.length("text") >= 2 * size - 1)
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
+    rows = rows.withColumn("body", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    texts = materialize(rows.mapInArrow(_anchors(size, anchor), "doc_id long, row_uid long, body binary, start int, end int, words int, anchors array<long>"), "texts")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_uid")
+    bodies = texts.groupBy("body").agg(F.min(order).alias("first"), F.count("*").alias("weight"))
+    bodies = materialize(bodies.select("body", F.col("first.row_uid").alias("keep_uid"), F.col("first.doc_id").alias("keep_doc_id"), "weight"), "bodies")
+    known = materialize(lookup(texts, bodies, ["body"], "weight", how="inner"), "known")
+    discard(texts, bodies)
+    copies = known.where(F.col("row_uid") != F.col("keep_uid")).select("doc_id", "row_uid", F.lit("passage").alias("level"), "start", "end", "words", "keep_doc_id", F.col("start").alias("keep_start"), F.col("weight").alias("copies"))
+    copies = materialize(copies, "copies")
+
+    firsts = known.where(F.col("row_uid") == F.col("keep_uid"))
+    anchors = firsts.select("row_uid", F.explode("anchors").alias("anchor"))
+    often = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1), "anchors")
+    met = lookup(anchors, often, ["anchor"], "n", how="inner").groupBy("row_uid").agg(F.collect_set("anchor").alias("anchors"))
+    # The text is found again by its digest and doc_id, as a row's number may differ from one reading to the next.
+    wanted = firsts.select("doc_id", "row_uid", "body", "weight").join(met, "row_uid").select(F.concat("body", doc).alias("spot"), "doc_id", "row_uid", "weight", "anchors")
+    again = rows.select(F.concat("body", doc).alias("spot"), "text").join(wanted, "spot").dropDuplicates(["spot"])
+    found = materialize(again.select("doc_id", "row_uid", "weight", "text", "anchors").mapInArrow(_windows(size, anchor), WINDOWS), "windows")
+
+    discard(often, known)
+
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_uid", "at", "start", "after")
+    groups = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.sum("weight").alias("copies")).where(F.col("n") > 1)
+    first = {"keep_doc_id": "doc_id", "keep_uid": "row_uid", "keep_at": "at", "keep_start": "start", "keep_after": "after"}
+    groups = materialize(groups.select("high", "low", *[F.col(f"first.{c}").alias(k) for k, c in first.items()], "n", "copies"), "passages")
+    discard()
+    later = lookup(found, groups, ["high", "low"], "n", how="inner").where((F.col("row_uid") != F.col("keep_uid")) | (F.col("at") != F.col("keep_at")))
+    own = F.col("row_uid") == F.col("keep_uid")
+    later = later.select(
+        "doc_id", "row_uid", "at", "end", "keep_uid", "keep_doc_id", "keep_start", "copies",
+        F.when(own, F.greatest("start", "keep_after")).otherwise(F.col("start")).alias("start"),
+        F.when(own, F.greatest("at", F.col("keep_at") + size)).otherwise(F.col("at")).alias("from"),
+        F.when(own, 0).otherwise(F.col("at") - F.col("keep_at")).alias("shift"),
+    )
+    w = Window.partitionBy("row_uid").orderBy("at")
+    follows = (F.col("at") == F.lag("at").over(w) + 1) & (F.col("keep_uid") == F.lag("keep_uid").over(w)) & (F.col("shift") == F.lag("shift").over(w))
+    runs = later.withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(w))
+    spans = runs.groupBy("row_uid", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") + size - F.min("from")).cast("int").alias("words"),
+        F.first("keep_doc_id").alias("keep_doc_id"), F.min("keep_start").alias("keep_start"), F.min("copies").alias("copies"),
+    )
+    spans = spans.select("doc_id", "row_uid", F.lit("passage").alias("level"), "start", "end", "words", "keep_doc_id", "keep_start", "copies")
+    out = materialize(copies.unionByName(spans), "spans")
+    discard(found, groups, copies)
+    return out
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Repeated units and repeated passages of docs, which has row_uid or is numbered here."""
+    kept = docs if "row_uid" in docs.columns else docs.withColumn("row_uid", F.monotonically_increasing_id())
+    passages = repeated_passages(kept)
+    return repeated_units(kept, min_words).unionByName(passages)
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text freed of repeated units, and removed: the spans taken out, merged, as offsets in the original.
+    """docs with text freed of repeated units and passages, and removed: the spans taken out, merged, as offsets in the original.
 
     Every row stays. White space around a removed unit stays as well; a null text stays null.
     """
     kept = materialize(docs.withColumn("row_uid", F.monotonically_increasing_id()), "documents")
-    spans = repeated_units(kept, min_words).groupBy("row_uid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = repeats(kept, min_words).groupBy("row_uid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     @F.pandas_udf("struct<text:string,removed:array<struct<start:int,end:int>>>")
     def strip(text, spans):

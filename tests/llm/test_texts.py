@@ -158,6 +158,36 @@ def test_repeats_match_a_dictionary(spark):
     assert R.repeated_units(plain(spark, [])).count() == 0
 
 
+def test_passages_match_all_windows(spark):
+    rng = random.Random(11)
+    passage, short = words(rng, 60).split(), [". ".join(words(rng, 4) for _ in range(14)) + "."]
+    rows = []
+    for i in range(24):
+        body = words(rng, rng.randint(0, 90)).split()
+        put = passage[rng.randint(0, 10) :][: rng.choice([49, 50, 55])] if i % 3 else " ".join(short).split()
+        at = rng.randint(0, len(body))
+        body = body[:at] + (["X" + put[0].upper()] if i == 7 else []) + put + body[at:]
+        rows.append((50 - i, "".join(w + rng.choice([" ", "  ", "\n", " \n\n"]) for w in body)))
+    rows += [(90, rows[3][1]), (91, rows[3][1].upper()), (None, rows[4][1]), (93, "spam " * 130), (94, "İ " + " ".join(passage)), (95, None), (96, " ".join(passage[:49]))]
+    first, removed = {}, {}
+    for uid, (i, t) in sorted(enumerate(rows), key=lambda r: (r[1][0] is None, r[1][0] or 0, r[0])):
+        own = t.lower().split() if t else []
+        for p in range(len(own) - 49):
+            k = first.setdefault(tuple(own[p : p + 50]), (uid, p))
+            if k != (uid, p):
+                removed.setdefault(uid, set()).update(range(max(p, k[1] + 50) if k[0] == uid else p, p + 50))
+    given = spark.createDataFrame([(i, uid, t) for uid, (i, t) in enumerate(rows)], "doc_id long, row_uid long, text string")
+    got: dict = {}
+    for r in R.repeated_passages(given.repartition(5)).collect():
+        places = [m.span() for m in re.finditer(r"\S+", rows[r.row_uid][1])]
+        inside = [n for n, (a, b) in enumerate(places) if r.start <= a and b <= r.end]
+        assert r.level == "passage" and len(inside) == r.words and places[inside[0]][0] == r.start and places[inside[-1]][1] == r.end and r.copies > 1
+        got.setdefault(r.row_uid, set()).update(inside)
+    assert got == removed and len(got) > 10
+    clean = R.remove_repeats(given.drop("row_uid")).collect()
+    assert sum(" ".join(short) in " ".join((r.text or "").split()) for r in clean) == 1 and R.repeated_passages(given.where("false")).count() == 0
+
+
 # languages
 
 
