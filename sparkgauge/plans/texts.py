@@ -17,6 +17,11 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where((F.col("lang") == "en") & ~F.regexp_like("text", F.lit(r"[^\x00-\x7F]")))
 
 
+def every_doc(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, whatever their language and letters; a null text counts as empty."""
+    return table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 
 
 def _sql_match(column: str, patterns) -> str:
@@ -36,12 +41,32 @@ SQL_HITS = "hits AS (SELECT doc_id, trace, array_to_string(list_filter([{}], lam
 
 @query(f"WITH {SQL_TRACES}, {SQL_HITS} SELECT doc_id, modes FROM hits")
 def lexical_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", F.array_join(T.lexical_hits(trace()), ",").alias("modes"))
+    return _lexical(docs(spark, sf))
+
+
+def _lexical(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.array_join(T.lexical_hits(trace()), ",").alias("modes"))
+
+
+@query()
+def lexical_hits_all(spark: SparkSession, sf: str) -> DataFrame:
+    """lexical_hits of every document; DuckDB's word boundaries are ASCII, so there is no SQL."""
+    return _lexical(every_doc(spark, sf))
 
 
 @query(f"WITH {SQL_TRACES} SELECT doc_id, {_sql_match('lower(trace)', T.PERCEPTUAL)} AS perceptual FROM traces")
 def perceptual_flag(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", T.perceptual(trace()).alias("perceptual"))
+    return _perceptual(docs(spark, sf))
+
+
+def _perceptual(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", T.perceptual(trace()).alias("perceptual"))
+
+
+@query()
+def perceptual_flag_all(spark: SparkSession, sf: str) -> DataFrame:
+    """perceptual_flag of every document."""
+    return _perceptual(every_doc(spark, sf))
 
 
 _RULES = {
@@ -69,11 +94,21 @@ _RULES = {
     SELECT doc_id, coalesce(modes[1], 'unclassified') AS primary_mode, array_to_string(modes[2:], ',') AS secondary FROM c""")
 def classify_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Verdicts from a trace and a path each: candidates in order of precedence, the first is primary."""
+    return _verdicts(spark, sf, docs(spark, sf))
+
+
+@query()
+def classify_modes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """classify_modes of every document that has a path."""
+    return _verdicts(spark, sf, every_doc(spark, sf))
+
+
+def _verdicts(spark: SparkSession, sf: str, given: DataFrame) -> DataFrame:
     pts = F.col("pts")
     paths = polylines(spark, sf).select(F.col("vec_id").alias("doc_id"), G.segments(pts).alias("s"), G.turn_angles(pts).alias("a"), outside_flags(pts).alias("o"), F.hypot(pts[0]["x"] - 100, pts[0]["y"] - 100).alias("start_error"))
     at = F.array_position("o", True) - 1
     g = {"points": F.lit(32), "outside_fraction": F.size(F.filter("o", lambda x: x)) / 32, "first_outside": F.when(at >= 0, at / 32), "spacing_cv": G.variation(F.col("s")), "mean_segment": G.total(F.col("s")) / 31, "reversals": F.size(F.filter("a", lambda a: a > 2)), "revisit": F.lit(0.0), "start_error": F.col("start_error"), "start_radius": F.lit(60.0)}
-    rows = docs(spark, sf).select("doc_id", trace().alias("trace")).join(paths, "doc_id").withColumn("hits", T.lexical_hits(F.col("trace")))
+    rows = given.select("doc_id", trace().alias("trace")).join(paths, "doc_id").withColumn("hits", T.lexical_hits(F.col("trace")))
     modes = T.classify(F.col("trace"), F.col("hits"), g, F.col("start_error") <= 60, F.col("doc_id") % 3 > 0, (F.col("doc_id") % 10) / F.lit(10.0))
     rows = rows.select("doc_id", modes.alias("m"))
     return rows.select("doc_id", F.coalesce(F.get("m", F.lit(0)), F.lit("unclassified")).alias("primary_mode"), F.array_join(F.slice("m", 2, 13), ",").alias("secondary"))

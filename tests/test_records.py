@@ -5,11 +5,13 @@ from __future__ import annotations
 import heapq
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkgauge.functions import text as T
+from sparkgauge.plans import QUERIES
 from sparkgauge.operators import graph, merge
 from sparkgauge.sources import files
 
@@ -147,3 +149,18 @@ def test_hints_never_hide_a_match():
             low = " ".join(rng.sample(said, 3))
             if any(re.search(p, low) for p in patterns):
                 assert any(h in low for h in T.HINTS[mode]), (mode, low)
+
+
+def test_all_documents_are_searched(spark, tmp_path):
+    """Every language, letter and null; Python's patterns are the brute force."""
+    texts = [("de", "Die Wände sind Wege. good enough für mich."), ("fr", "caféwalls are paths. dételeport, é backtrack"), ("en", "naïve: no collisions. the thin line looks blue"), (None, "dead end, wrong"), ("es", None), ("en", "plain")] * 4
+    spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [[(100.0 + (i * j) % 50) for j in range(64)] for i in range(len(texts))]
+    spark.createDataFrame([(i, 0, v) for i, v in enumerate(turns)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    phrases = ["this path is clear. ", "assume a gap here. ", "good enough, i'll commit to it. ", "the walls are the paths. ", "node A and node B, adjacency. ", "we backtrack. ", "x = 12. ", ""]
+    traces = {i: (phrases[i % 8] + (t or "")).lower() for i, (_, t) in enumerate(texts)}
+    met = lambda patterns, t: any(re.search(p, t) for p in patterns)
+    sf = str(tmp_path)
+    assert {r.doc_id: r.modes for r in QUERIES["lexical_hits_all"](spark, sf).collect()} == {i: ",".join(m for m, ps in T.LEXICAL.items() if met(ps, t)) for i, t in traces.items()}
+    assert {r.doc_id: r.perceptual for r in QUERIES["perceptual_flag_all"](spark, sf).collect()} == {i: met(T.PERCEPTUAL, t) for i, t in traces.items()}
+    assert {r.doc_id for r in QUERIES["classify_modes_all"](spark, sf).collect()} == set(traces)
