@@ -37,6 +37,25 @@ def bootstrap_ci(values: DataFrame, group: str, task: str, value: str, resamples
     return rows.groupBy("grp").applyInPandas(kernel, "grp long, mean double, lo double, hi double").withColumnRenamed("grp", group)
 
 
+def paired(values: np.ndarray, resamples: int = RESAMPLES, seed: int = 0, alpha: float = 0.05) -> tuple[float, float, float]:
+    """Percentile bootstrap interval of the mean difference, and the two-sided sign-flip p. Sums that differ by rounding only are ties."""
+    n, rng = len(values), np.random.default_rng(seed)
+    low, high = np.quantile(values[rng.integers(0, n, size=(resamples, n))].mean(axis=1), [alpha / 2, 1 - alpha / 2])
+    null = (values * rng.choice([-1.0, 1.0], size=(resamples, n))).mean(axis=1)
+    return float(low), float(high), float((np.abs(null).round(9) >= round(abs(float(values.mean())), 9)).mean())
+
+
+def paired_bootstrap(values: DataFrame, group: str, task: str, value: str, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """group, tasks, diff, lo, hi, p of each group's paired differences, one a task."""
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        v = frame.sort_values("task")["value"].to_numpy(float)
+        return pd.DataFrame([(frame["grp"].iloc[0], len(v), v.mean(), *paired(v, resamples, seed))], columns=["grp", "tasks", "diff", "lo", "hi", "p"])
+
+    rows = values.select(F.col(group).cast("long").alias("grp"), F.col(task).alias("task"), F.col(value).cast("double").alias("value"))
+    return rows.groupBy("grp").applyInPandas(kernel, "grp long, tasks long, diff double, lo double, hi double, p double").withColumnRenamed("grp", group)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, iterations: int = 50, ridge: float = 1e-6) -> np.ndarray:
     """Coefficients by Newton's method with a small ridge."""
     beta = np.zeros(x.shape[1])
@@ -71,7 +90,7 @@ def logistic_fit(spark: SparkSession, rows: DataFrame, columns: list[str], outco
     return spark.createDataFrame([(t, b, float(np.exp(b))) for t, b in terms], "term string, beta double, odds_ratio double")
 
 
-def logistic_ci(spark: SparkSession, counts: DataFrame, task: str, columns: list[str], resamples: int = 200, seed: int = 0) -> DataFrame:
+def logistic_ci(spark: SparkSession, counts: DataFrame, task: str, columns: list[str], resamples: int = 400, seed: int = 0) -> DataFrame:
     """Coefficients with task-clustered intervals: term, beta, lo, hi.
 
     counts: one row per task with its predictors, n and c (successes), so it is as small as the task list; the

@@ -10,6 +10,7 @@ from ..operators import generate, raster, render, resample, select
 from ..sources import files
 from ..sources.scratch import cut, fresh_path
 from .registry import query
+from .statistics import _pairs as pairs
 from .statistics import cells, scored, style_grid
 from .views import polylines, table, tasks
 
@@ -20,6 +21,12 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return resample.bootstrap_ci(cells(spark, sf), "provider", "task_id", "rate")
 
 
+@query()
+def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean paired difference, its interval and its sign-flip p, each from 10,000 seeded draws; paired_bootstrap_hash has 200 that DuckDB repeats."""
+    return resample.paired_bootstrap(pairs(spark, sf).withColumn("v", F.col("ra") - F.col("rb")), "provider", "task_id", "v")
+
+
 @query()
 def variance_ci(spark: SparkSession, sf: str) -> DataFrame:
     return resample.variance_ci(style_grid(spark, sf), "topology", "style", "rate")

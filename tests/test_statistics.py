@@ -44,6 +44,27 @@ def test_bootstrap_interval(spark):
     assert a == b and all(lo <= m <= hi for _, m, lo, hi in a)
 
 
+def test_paired_bootstrap_is_fine_grained(spark):
+    rare = np.linspace(0.1, 1, 10)  # all of one sign: the exact p is 2 of 2^10
+    mixed = rare * np.where(np.arange(10) % 3 == 0, -1, 1)
+    flips = np.where((np.arange(1024)[:, None] >> np.arange(10)) & 1, 1, -1)
+    exact = lambda v: (np.abs((flips * v).mean(axis=1)).round(9) >= round(abs(v.mean()), 9)).mean()
+    rows = spark.createDataFrame([(g, t, float(x)) for g, v in enumerate((rare, mixed)) for t, x in enumerate(v)], "g long, t long, v double")
+    a, b = (sorted(map(tuple, R.paired_bootstrap(x, "g", "t", "v").collect())) for x in (rows, rows.repartition(5, F.rand(1))))
+    assert a == b
+    for (_, tasks, diff, lo, hi, p), v in zip(a, (rare, mixed), strict=True):
+        assert tasks == 10 and diff == pytest.approx(v.mean()) and lo < diff < hi and p == pytest.approx(round(p * 10_000) / 10_000)
+        assert abs(p - exact(v)) < 5 * (exact(v) / 10_000) ** 0.5
+        draws = np.random.default_rng(0).integers(0, 10, size=(10_000, 10))
+        assert (lo, hi) == pytest.approx(tuple(np.percentile(v[draws].mean(axis=1), [2.5, 97.5])))
+
+
+def test_logistic_interval_has_400_draws(spark):
+    counts = spark.createDataFrame([(t, float(t % 7), 20, 4 + t % 7 + t % 3) for t in range(30)], "t long, x double, n long, c long")
+    key = lambda r: (r.term, r.lo, r.hi)
+    assert sorted(map(key, R.logistic_ci(spark, counts, "t", ["x"]).collect())) == sorted(map(key, R.logistic_ci(spark, counts, "t", ["x"], 400).collect()))
+
+
 def test_logistic_recovers_known_effects(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=2000)
