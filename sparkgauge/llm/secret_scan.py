@@ -89,12 +89,20 @@ def guess_cost(value: str) -> float:
     return max(0.0, min(brute[-1], other[-1])) if value else 0.0
 
 
+def _inside(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
+    """Whether the sorted spans cover start to end."""
+    for a, b in taken:
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
 def scan(text: str | None, least: float = MIN_GUESSES) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, log10 guesses of the value) by start, then kind; whole text, code points, end exclusive.
 
     Base kinds are matched leftmost and without overlap each, and a match that is too short is dropped
     after it has taken its place. A ``guess`` span is a value in a wider context that costs at least
-    ``least`` and overlaps no base span. Null and empty texts have none.
+    ``least`` and that base spans do not cover as a whole. Null and empty texts have none.
     """
     if not text:
         return []
@@ -109,7 +117,7 @@ def scan(text: str | None, least: float = MIN_GUESSES) -> list[tuple[str, int, i
         taken = sorted((s, e) for _, s, e, _ in found)
         for m in CONTEXT.finditer(text):
             s, e = m.span(1)
-            if e - s >= MIN_VALUE and not any(a < e and s < b for a, b in taken) and (cost := guess_cost(m[1])) >= least:
+            if e - s >= MIN_VALUE and not _inside(s, e, taken) and (cost := guess_cost(m[1])) >= least:
                 found.append(("guess", s, e, cost))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

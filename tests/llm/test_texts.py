@@ -126,6 +126,12 @@ def test_guess_costs():
     assert S.guess_cost("a1" * 20000) < 10  # a repeat, and linear time
 
 
+def test_a_value_that_outlasts_its_base_span_is_judged():
+    text = "password=abcdef#9Lk2$pQ7zR"
+    found = [(k, s, e) for k, s, e, _ in S.scan(text)]
+    assert ("guess", 9, len(text)) in found and [x for x in found if x[0] == "assign"] == [("assign", 0, 15)]
+
+
 # repeats
 
 
