@@ -106,13 +106,17 @@ class Matcher:
         for item, starts in begins.items():
             item_id, m, k, ahead, back = self.items[item]
             for low, high in self._windows(sorted(starts), m, k, len(norm)):
-                while high - low >= m - k and (hit := myers(ahead, m, norm[low:high], k)):
+                parts = [(low, high)]
+                while parts:
+                    low, high = parts.pop()
+                    if high - low < m - k or not (hit := myers(ahead, m, norm[low:high], k)):
+                        continue
                     end = low + hit[1]
                     begin = max(low, end - m - k)
                     reach = myers(back, m, norm[begin:end][::-1], k)
                     start = end - (reach[1] if reach else min(m, end - begin))
                     found.append((item_id, start, end, hit[0]))
-                    low = end
+                    parts += [(low, start), (end, high)]
         if not found:
             return []
         at = places(text)

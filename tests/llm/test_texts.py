@@ -353,3 +353,12 @@ def test_a_benchmark_of_several_blocks(spark, monkeypatch):
     whole = sorted(D.leaks(plain(spark, rows), bench).collect())
     monkeypatch.setattr(D, "BLOCK_CHARS", 60)
     assert sorted(D.leaks(plain(spark, rows), bench).collect()) == whole and len(whole) == 9
+
+
+def test_a_worse_match_before_the_best_is_found():
+    rng = random.Random(5)
+    item = words(rng, 24)
+    matcher = D.Matcher([(1, item)])
+    near = item[:50] + "#" + item[51:]
+    for text in (near + " " + item, item + " " + near, near + " " + item + " " + near):
+        assert len(matcher.find(text)) == text.count(" " + item) + text.startswith(item) + text.count(near), text
