@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -89,35 +90,42 @@ def guess_cost(value: str) -> float:
     return max(0.0, min(brute[-1], other[-1])) if value else 0.0
 
 
-def _inside(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
-    """Whether the sorted spans cover start to end."""
-    for a, b in taken:
-        if a <= start < b:
-            start = b
-    return start >= end
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover; spans that touch are one stretch."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
-def scan(text: str | None, least: float = MIN_GUESSES) -> list[tuple[str, int, int, float]]:
+def scan(text: str | None, least: float = MIN_GUESSES) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, log10 guesses of the value) by start, then kind; whole text, code points, end exclusive.
 
     Base kinds are matched leftmost and without overlap each, and a match that is too short is dropped
-    after it has taken its place. A ``guess`` span is a value in a wider context that costs at least
-    ``least`` and that base spans do not cover as a whole. Null and empty texts have none.
+    after it has taken its place; their values are not judged, so they have no guesses. A ``guess`` span is a value in a
+    wider context that costs at least ``least`` and that base spans do not cover as a whole; a value that several contexts
+    lead to is one span. Null and empty texts have none.
     """
     if not text:
         return []
     low = text.lower()
-    found = []
+    found: list[tuple[str, int, int, float | None]] = []
     if "passw" in low or "secret" in low or "token" in low or "api" in low:
-        found += [("assign", *m.span(), guess_cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
+        found += [("assign", *m.span(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     if "AKIA" in text:
-        found += [("access", *m.span(), guess_cost(m[0][4:]) + 4) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
-    found += [("hex", *m.span(), guess_cost(m[0])) for m in HEX.finditer(text)]
+        found += [("access", *m.span(), None) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
+    found += [("hex", *m.span(), None) for m in HEX.finditer(text)]
     if any(h in low for h in HINTS):
-        taken = sorted((s, e) for _, s, e, _ in found)
+        starts, ends = _merged([x[1:3] for x in found])
         for m in CONTEXT.finditer(text):
             s, e = m.span(1)
-            if e - s >= MIN_VALUE and not _inside(s, e, taken) and (cost := guess_cost(m[1])) >= least:
+            at = bisect_right(starts, s) - 1
+            covered = at >= 0 and e <= ends[at]
+            if e - s >= MIN_VALUE and not covered and (cost := guess_cost(m[1])) >= least:
                 found.append(("guess", s, e, cost))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -132,6 +134,55 @@ def test_a_value_that_outlasts_its_base_span_is_judged():
     assert ("guess", 9, len(text)) in found and [x for x in found if x[0] == "assign"] == [("assign", 0, 15)]
 
 
+def every_cut(n):
+    """All segmentations of n characters, as lists of (start, end)."""
+    if not n:
+        yield []
+    for i in range(n):
+        for rest in every_cut(i):
+            yield [*rest, (i, n)]
+
+
+def pieces_by_hand(value):
+    """The least cost of every span that is one pattern or brute force, read off the definitions."""
+    low, out = value.lower(), {(i, j): float(j - i) for i in range(len(value)) for j in range(i + 1, len(value) + 1)}
+    put = lambda i, j, c: out.__setitem__((i, j), min(out[i, j], c))
+    for i, j in list(out):
+        plain = "".join({"4": "a", "@": "a", "8": "b", "0": "o", "3": "e", "1": "i", "!": "i", "$": "s", "5": "s", "+": "t", "7": "t"}.get(c, c) for c in low[i:j])
+        for word in {low[i:j], plain} & set(S.WORDS):
+            put(i, j, math.log10(S.WORDS.index(word) + 1) + math.log10(2) * sum(a != b for a, b in zip(value[i:j], plain, strict=True)))
+    for m in S.DATE.finditer(value):
+        put(*m.span(), math.log10(365 * 60 * 4 if len(m[0]) > 4 else 120))
+    return out
+
+
+def test_costs_match_every_segmentation():
+    rng = random.Random(12)
+    bits = ["pass", "root", "sun", "1999", "2001-02-03", "#", "K", "9z", "moon", "m00n", "x"]
+    for _ in range(60):
+        value = "".join(rng.choice(bits) for _ in range(4))[:11]
+        if any(value[i : i + n] == value[i + n : i + 2 * n] for n in range(1, 6) for i in range(len(value))) or any(S._near(a, b) and S._near(b, c) for a, b, c in zip(value.lower(), value.lower()[1:], value.lower()[2:], strict=False)):
+            continue  # repeats and walks have tests of their own
+        cost = pieces_by_hand(value)
+        brute = lambda a, b: cost[a, b] == b - a
+        best = min(sum(cost[x] for x in cut) + math.log10(2) * (len(cut) - 1) for cut in every_cut(len(value)) if not any(brute(*p) and brute(*q) for p, q in zip(cut, cut[1:], strict=False)))
+        assert S.guess_cost(value) == pytest.approx(best), value
+
+
+def test_repeats_and_walks():
+    assert S.guess_cost("7x" * 6) == pytest.approx(2 + math.log10(6))  # its unit by brute force, and how often
+    assert S.guess_cost("qwerty") == pytest.approx(min(math.log10(2), math.log10(47 * 6)))  # a word beats the walk
+    assert S.guess_cost("zxcvb") == pytest.approx(math.log10(47 * 5) + math.log10(4))  # one direction
+    assert S.guess_cost("zxcde") == pytest.approx(min(math.log10(47 * 5) + 2 * math.log10(4), 3 + math.log10(47 * 3) + math.log10(4)))
+
+
+def test_very_many_secrets_in_one_text_take_linear_time():
+    text = "\n".join(f"password=abcdef{i}" + " pwd => xK9#mQ2$vLz" * (i % 25 == 0) for i in range(50_000))
+    began = time.perf_counter()
+    kinds = Counter(k for k, *_ in S.scan(text))
+    assert kinds["assign"] == 50_000 and kinds["guess"] == 2_000 and time.perf_counter() - began < 30
+
+
 # repeats
 
 
@@ -269,8 +320,6 @@ def test_near_duplicates_match_all_pairs(spark):
 
 
 def test_prune_limits_keep_pairs_at_the_threshold():
-    import math
-
     limits = J.prune_limits(0.8, 1e-6)
     assert limits == sorted(limits) and limits[0] >= 0
     for i, most in enumerate(limits):
