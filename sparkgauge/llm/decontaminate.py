@@ -20,6 +20,8 @@ from .common import materialize
 
 #: Errors allowed, as a share of an item's characters.
 ERROR_RATE = 0.08
+#: A shorter item matches nothing: such strings occur by chance, and one of a letter would be in every text.
+MIN_CHARS = 20
 #: Characters of items in one automaton; a larger benchmark takes one pass over the documents for each such block.
 BLOCK_CHARS = 4_000_000
 
@@ -80,7 +82,7 @@ class Matcher:
         self.items = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            if not (norm := normalise(text)):
+            if len(norm := normalise(text)) < MIN_CHARS:
                 continue
             m, k = len(norm), int(rate * len(norm))
             for p in range(k + 1):
@@ -165,8 +167,9 @@ def _finder(block: list[tuple[int, str]], rate: float):
 def with_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, into: str = "leaks") -> DataFrame:
     """docs with a column of leaks: an array of (item_id, start, end, distance), empty where a text holds no item.
 
-    Every row stays, repeated ones too. Null and empty texts have no leaks; null and blank items match nothing;
-    an item too short to allow an error must occur unchanged. A benchmark of several blocks takes a pass each,
+    Every row stays, repeated ones too. Null and empty texts have no leaks; null and blank items, and those of
+    fewer than MIN_CHARS characters (white space as one space), match nothing. Items of equal text match each. Matches of one item
+    don't overlap: the best of a stretch counts, the first of equals, and then what is left before and after it. A benchmark of several blocks takes a pass each,
     written out in between, so the driver never holds more than one block.
     """
     rows = docs.withColumn(into, F.array().cast(LEAKS))
@@ -179,12 +182,12 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """One row per leak: doc_id, item_id, start, end, distance."""
+    """One row per leak: doc_id, item_id, start, end (code points of the text, end exclusive), distance. See with_leaks."""
     found = with_leaks(docs.select("doc_id", "text"), benchmark, rate)
     # explode() would add a filter on the array below it, and so find everything twice
     return found.select("doc_id", F.explode_outer("leaks").alias("leak")).where(F.col("leak").isNotNull()).select("doc_id", "leak.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of docs that hold no item."""
+    """The rows of docs that hold no item, repeated rows too, with their own columns. An empty benchmark drops none."""
     return with_leaks(docs, benchmark, rate, "__leaks").where(F.size("__leaks") == 0).drop("__leaks")
