@@ -261,16 +261,58 @@ def test_languages_are_told_apart_on_held_out_rows(spark):
     assert sum(r.lang_pred == r.lang for r in test) / len(test) > 0.98 and all(0 <= r.score <= 1 for r in got)
     by = {r.doc_id: r for r in got}
     assert [by[i].lang_pred for i in (900, 901, 902, 903, 904, None)] == ["und", "und", "und", "aa", "cc", "bb"]
-    # vectors by hand
-    protos = L.learn(docs(spark, rows).where(~L.held_out(F.col("doc_id"))).select("lang", "text"))
-    by_hand = sum(L.text_vector(t) for i, t, lang in rows if lang == "aa" and zlib.crc32(str(i).encode()) % 3 != 1)
-    assert (protos["aa"] == by_hand).all()
+    # every prototype and prediction by plain Python
+    def by_hand(t):
+        total = [0] * L.DIMENSIONS
+        padded = " " + "".join(c if c.isalpha() else " " for c in t.lower()) + " "
+        for x in zip(padded, padded[1:], padded[2:], strict=False):
+            if x[1] != " ":
+                a, b, c = (L._letter_vector(0 if y == " " else ord(y)).tolist() for y in x)
+                total = [n + a[i - 2] * b[i - 1] * c[i] for i, n in enumerate(total)]
+        return total
+
+    few = rows[:45]
+    vectors = {i: by_hand(t) for i, t, _ in few}
+    protos: dict = {}
+    for i, _, lang in few:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            protos[lang] = [x + y for x, y in zip(protos.get(lang, [0] * L.DIMENSIONS), vectors[i], strict=True)]
+    learned = {r.lang: list(r.vector) for r in L.learn(docs(spark, few).where(~L.held_out(F.col("doc_id"))).select("lang", "text")).collect()}
+    assert learned == protos
+    cosine = lambda v, w: sum(x * y for x, y in zip(v, w, strict=True)) / math.sqrt(sum(x * x for x in v) * sum(y * y for y in w))
+    for r in L.identify(docs(spark, few)).collect():
+        score, lang = max((cosine(vectors[r.doc_id], p), lang) for lang, p in protos.items())
+        assert r.lang_pred == lang and r.score == pytest.approx(score)
     kept = L.in_some_language(docs(spark, rows + odd))
     assert kept.columns == docs(spark, []).columns and kept.count() == len(rows) + len(odd) - 3
     foreign = [(2000, "zzxq qxxz " * 40, None)]
     assert 2000 not in {r.doc_id for r in L.in_some_language(docs(spark, rows + foreign)).collect()}
     assert L.identify(docs(spark, [])).count() == 0
     assert [r.lang_pred for r in L.identify(docs(spark, [(1, "abc", None)])).collect()] == ["und"]
+    # nothing to learn from: only texts without a letter go
+    assert sorted(r.doc_id for r in L.in_some_language(docs(spark, [(i, t, None) for i, t, _ in rows[:9] + odd[:3]])).collect()) == list(range(9))
+    assert L.in_some_language(docs(spark, [])).count() == 0
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    rng = random.Random(14)
+    rows = [(i, words(rng, 12), f"l{i % 23:02}") for i in range(92)]
+    judged = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in L.identify(docs(spark, rows)).collect())
+    whole = judged()
+    for name, value in (("MAX_LANGUAGES", 5), ("MAX_SUMS", 2), ("FOLD_AT", 50)):
+        monkeypatch.setattr(L, name, value)
+    assert judged() == whole
+
+
+def test_learning_holds_sums_only(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(400)) for _ in range(10)]
+    batch = pa.record_batch({"lang": pa.array(["zh"] * 10), "text": pa.array(texts)})
+    whole = [b.column(2).to_pylist() for b in L._partial(iter([batch]))]
+    monkeypatch.setattr(L, "FOLD_AT", 1000)
+    assert [b.column(2).to_pylist() for b in L._partial(iter([batch]))] == whole
 
 
 # near duplicates
