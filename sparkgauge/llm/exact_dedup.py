@@ -2,7 +2,9 @@
 
 The index is a Spark table bucketed and sorted by SHA-256 of the normalised text. A batch is
 reduced to one row per digest, joined to the index bucket by bucket (sort-merge, and the index side needs no
-exchange), and the digests that are new are appended.
+exchange), and the digests that are new are appended, clustered by bucket, so a batch adds one file to each. Spark trusts a
+bucket's order only where the bucket is one file: with several batches it sorts each bucket again when it is read.
+compact() makes the buckets one sorted file each.
 """
 
 from __future__ import annotations
@@ -47,9 +49,18 @@ class DigestIndex:
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def _append(self, rows: DataFrame) -> None:
-        writer = rows.write.mode("append").format("parquet")
-        writer.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.table)
+    def _append(self, rows: DataFrame, table: str | None = None) -> None:
+        """Append rows, each bucket by the one task that has all of it: one more file, sorted, for each bucket."""
+        writer = rows.repartition(self.buckets, "text_sha256").write.mode("append").format("parquet")
+        writer.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(table or self.table)
+
+    def compact(self) -> None:
+        """Write the index anew under another name, one sorted file to a bucket, and drop the old table. An index that doesn't exist stays so."""
+        if self.exists():
+            old, self.table = self.table, f"digest_index_{uuid.uuid4().hex}"
+            # a new expression, as Spark would take the old table's buckets for clustered and then read them in any order
+            self._append(self.spark.table(old).withColumn("text_sha256", F.substring("text_sha256", 1, 64)))
+            self.spark.sql(f"DROP TABLE {old}")
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Decide on a batch and append its new digests.
@@ -75,10 +86,48 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """Decisions for all docs, against a fresh index unless one is given. See DigestIndex.add."""
-    return (index or DigestIndex.fresh(docs.sparkSession)).add(docs)
+    """Decisions for all docs, against the index if one is given, else against a fresh one that is dropped again. See DigestIndex.add."""
+    if index:
+        return index.add(docs)
+    index = DigestIndex.fresh(docs.sparkSession)
+    decided = index.add(docs)  # written out but for a last join, which doesn't read the index
+    index.drop()
+    return decided
+
+
+def dedup_in_batches(docs: DataFrame, edges: list[int], index: DigestIndex | None = None) -> DataFrame:
+    """Decisions for all docs, added to one index in batches: doc_ids up to the first edge, then up to the next, and the rest (null ids too).
+
+    As a batch has larger ids than those before it, the smallest doc_id of a text stays, and the decisions are those of a single batch.
+    group_size counts all rows of docs. row_uid is unique. Edges must ascend; a batch may be empty, and so may docs.
+    """
+    spark = docs.sparkSession
+    held = index or DigestIndex.fresh(spark)
+    low, parts = None, []
+    for high in [*edges, None]:
+        inside = F.lit(True) if low is None else F.col("doc_id") > low
+        rest = F.lit(True) if high is None else F.col("doc_id") <= high
+        batch = docs.where(F.coalesce(inside & rest, F.lit(high is None)))
+        parts.append(materialize(held.add(batch).withColumn("row_uid", F.struct(F.lit(len(parts)).alias("batch"), "row_uid")), "batch-decisions"))
+        low = high
+    if index is None:
+        held.drop()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    sizes = materialize(every.groupBy("text_sha256").agg(F.count("*").alias("total")), "group-sizes")
+    return lookup(every, sizes, ["text_sha256"], "total").withColumn("group_size", F.col("total")).drop("total")
+
+
+def middle_id(docs: DataFrame) -> int:
+    """The middle of the least and the largest doc_id; 0 where there is none."""
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).head()
+    return 0 if ends.low is None else (ends.low + ends.high) // 2
 
 
 def distinct_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of docs that stay, with their own columns."""
+    """The rows of docs that stay, with their own columns: of equal texts the smallest doc_id, of equal rows one, null text as empty text.
+
+    A null doc_id stays only where its text has no other. An empty table gives none.
+    """
     return keep_rows(docs, exact_dedup(docs, index), {"doc_id": F.col("doc_id"), "text_sha256": digest(F.col("text"))})

@@ -52,6 +52,30 @@ def test_index_persists_and_adding_again_changes_nothing(spark):
     index.drop()
 
 
+def test_batches_decide_like_one(spark):
+    rows = [(i, f"t{i % 7}") for i in range(60)] + [(None, "t1"), (None, "only"), (3, "t3"), (70, None), (2, "")]
+    plain = lambda df: sorted(map(repr, df.drop("row_uid").collect()))
+    whole = E.exact_dedup(docs(spark, rows))
+    for edges in ([30], [-5, 10, 10, 500]):
+        got = E.dedup_in_batches(docs(spark, rows), edges)
+        assert plain(got) == plain(whole) and got.select("row_uid").distinct().count() == len(rows)
+    assert E.dedup_in_batches(docs(spark, []), [E.middle_id(docs(spark, []))]).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+
+
+def test_buckets_are_clustered_and_compacted(spark):
+    index = E.DigestIndex.fresh(spark, 4)
+    for k in range(3):
+        index.add(docs(spark, [(100 * k + i, f"text {k} {i}") for i in range(80)]).repartition(6))
+    files = lambda: len(spark.table(index.table).inputFiles())
+    assert files() <= 3 * 4 + 1  # one a bucket and batch, and that of the empty table
+    before = sorted(map(repr, spark.table(index.table).collect()))
+    index.compact()
+    assert files() == 4 and sorted(map(repr, spark.table(index.table).collect())) == before
+    assert index.add(docs(spark, [(5000, "text 1 5")])).first().keep_id == 105
+    index.drop()
+
+
 def test_empty_tables(spark):
     assert E.exact_dedup(docs(spark, [])).count() == 0
     assert E.distinct_documents(docs(spark, [])).count() == 0
