@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, exact_dedup, language_id, ngram_join, packing, secret_scan, substring_dedup, url_rules, warc
+from .common import shared_dir
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, read the archive back and verify it."""
-    archive = warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    rows = warc.verify(archive)
+    """Archive all pages, rebuild every record into WARC files, and read the files back."""
+    archive, files = warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet")), f"{shared_dir(spark)}/warc-files-{uuid.uuid4().hex}"
+    warc.export_files(archive, files)
+    warc.drop_archive(archive)
+    rows = warc.read_files(spark, files)
     return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -30,8 +34,9 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decide on all documents against a fresh index."""
-    return exact_dedup.exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_uid")
+    """Decide on all documents in two batches against one index, whose second half of ids meets what the first one left."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return exact_dedup.dedup_in_batches(docs, [exact_dedup.middle_id(docs)]).drop("row_uid")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

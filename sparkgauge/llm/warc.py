@@ -2,14 +2,21 @@ r"""Content-addressed WARC archive.
 
 An archive is two tables. ``payloads`` holds the bytes of every distinct payload once, under its SHA-256;
 ``records`` holds the exact header block of every record and the digest of its payload. Joining them gives
-the original WARC records byte for byte, and the bytes are verified against their digests on the way.
+the original WARC records byte for byte, and the bytes are verified against their digests on the way. Payloads are bucketed by
+their digest, so the join leaves them where they are. Records are exported as plain WARC files, and a parser reads
+such files back.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import re
 import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +25,8 @@ from .common import lookup, materialize, shared_dir
 #: A payload shorter than this is never revisited: a revisit record would hardly be smaller.
 MIN_REVISIT_BYTES = 1000
 CRLF = "\r\n"
+#: Bytes of records that a WARC file has by the archive's mean, so that a reader can hold one.
+FILE_BYTES = 16_000_000
 
 
 class Archive(NamedTuple):
@@ -37,6 +46,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     and the others are revisits that refer to it; rows repeated under that very id are responses too. A null id
     is smaller than any other. A null body is an empty payload, and a null url the target ``about:blank``. An
     empty table gives an empty archive. Other columns are ignored.
+    The payloads are also a table of the catalog (see drop_archive), since only that keeps their buckets.
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -45,8 +55,11 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = rows.withColumn("sha256", F.sha2("payload", 256))
     # one row per payload, combined before the shuffle; equal payloads, so any of them will do
     stored = rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.max("id").alias("owner"), F.count("*").alias("copies"))
-    stored.select("sha256", "payload", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"), "owner", "copies").write.parquet(f"{path}/payloads")
-    payloads = spark.read.parquet(f"{path}/payloads")
+    stored = stored.select("sha256", "payload", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"), "owner", "copies")
+    # as many buckets as the aggregation has partitions, so each task has whole buckets
+    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"warc_payloads_{uuid.uuid4().hex}"
+    stored.write.bucketBy(buckets, "sha256").option("path", f"{path}/payloads").saveAsTable(table)
+    payloads = spark.table(table)
     narrow = rows.select("id", "url", "sha256")
     known = lookup(narrow, payloads.select("sha256", "sha1", "bytes", "owner", "copies"), ["sha256"], "copies")
     revisit = (F.col("bytes") >= MIN_REVISIT_BYTES) & ~F.col("id").eqNullSafe(F.col("owner"))
@@ -59,7 +72,16 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(revisit, 0).otherwise(F.col("bytes")).cast("string")), F.lit(CRLF),
     )
     known.select("id", head.alias("header"), "sha256").write.parquet(f"{path}/records")
-    return read_archive(spark, path)
+    return Archive(spark.read.parquet(f"{path}/records"), payloads)
+
+
+def drop_archive(archive: Archive) -> None:
+    """Take the payload table out of the catalog, where write_archive put it; the files stay."""
+    spark = archive.records.sparkSession
+    folders = {f.rpartition("/")[0] for f in archive.payloads.inputFiles()}
+    for t in spark.catalog.listTables():
+        if t.name.startswith("warc_payloads_") and (not folders or {f.rpartition("/")[0] for f in spark.table(t.name).inputFiles()} == folders):
+            spark.sql(f"DROP TABLE {t.name}")
 
 
 def read_archive(spark: SparkSession, path: str) -> Archive:
@@ -97,15 +119,93 @@ def reconstruct(archive: Archive) -> DataFrame:
     return of_small.unionByName(rows.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).join(large, "sha256", "left"))
 
 
+def _bodies(archive: Archive) -> DataFrame:
+    """Records (id, header) with body, the payload where the record carries it: in responses, not in revisits.
+
+    A payload of MIN_REVISIT_BYTES or more has one response, so that join has no hot key and the bucketed payloads stay in place. A
+    shorter one is that of any number of responses; lookup() broadcasts the heavy ones.
+    """
+    length = F.regexp_extract("header", r"\r\nContent-Length: (\d+)", 1).cast("long")
+    rows = archive.records.select("id", "header", "sha256", (F.regexp_extract("header", r"\r\nWARC-Type: ([^\r]*)", 1) == "revisit").alias("revisit"), length.alias("length"))
+    short = F.col("bytes") < MIN_REVISIT_BYTES
+    checked = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged WARC payload "), "sha256")))
+    small = archive.payloads.where(short).select("sha256", checked.alias("body"), "copies")
+    large = archive.payloads.where(~short).select("sha256", checked.alias("body"))
+    responses = rows.where(~F.col("revisit"))
+    of_small = lookup(responses.where(F.col("length") < MIN_REVISIT_BYTES), small, ["sha256"], "copies")
+    of_large = responses.where(F.col("length") >= MIN_REVISIT_BYTES).join(large, "sha256", "left")
+    parts = [x.select("id", "header", "body") for x in (of_small, of_large)]
+    return parts[0].unionByName(parts[1]).unionByName(rows.where("revisit").select("id", "header", F.lit(b"").alias("body")))
+
+
 def export_records(archive: Archive) -> DataFrame:
-    """The WARC records as bytes, one per row (id, record): header, payload unless a revisit, two line ends."""
-    rows = reconstruct(archive)
-    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return rows.select("id", F.concat(F.col("header").cast("binary"), body, F.lit((CRLF * 2).encode())).alias("record"))
+    """The WARC records as bytes, one per row (id, record): header, payload unless a revisit, two line ends. A missing or damaged payload stops the job."""
+    body = F.coalesce("body", F.raise_error(F.lit("missing WARC payload")).cast("binary"))
+    return _bodies(archive).select("id", F.concat(F.col("header").cast("binary"), body, F.lit((CRLF * 2).encode())).alias("record"))
 
 
 def export_files(archive: Archive, path: str, codec: str = "gzip") -> None:
-    """Write plain WARC files: Spark's text sink, with the two line ends that close a record as its separator."""
-    rows = reconstruct(archive)
-    body = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("payload").cast("string"))
-    rows.select(F.concat("header", body)).write.option("lineSep", CRLF * 2).option("compression", codec).text(path)
+    """Write plain WARC files: Spark's text sink, with the two line ends that close a record as its separator.
+
+    A file has as many records as make FILE_BYTES by their mean length. An empty archive gives a file without records.
+    """
+    size = archive.payloads.agg((F.sum("bytes") / F.sum(F.lit(1))).alias("mean")).head().mean or 0
+    body = F.coalesce("body", F.raise_error(F.lit("missing WARC payload")).cast("binary")).cast("string")
+    rows = _bodies(archive).select(F.concat("header", body))
+    rows.write.option("lineSep", CRLF * 2).option("compression", codec).option("maxRecordsPerFile", max(1, int(FILE_BYTES // (size + 500)))).text(path)
+
+
+PARSED = "id long, record_type string, refers_to long, payload_digest string, payload_bytes long, target string, header string"
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], str, bytes]]:
+    """(header fields by lower-case name, header block, block) of each record in the bytes of a WARC file. Anything but whole records raises."""
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        head = data[at : end + 4].decode("utf-8")
+        lines = head.split(CRLF)
+        if end < 0 or not lines[0].startswith("WARC/"):
+            raise ValueError(f"no WARC record at byte {at}")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
+        n = int(fields["content-length"])
+        block, at = data[end + 4 : end + 4 + n], end + 4 + n + 4
+        if len(block) < n or data[at - 4 : at] != b"\r\n\r\n":
+            raise ValueError(f"damaged WARC record {fields.get('warc-record-id')}")
+        yield fields, head, block
+
+
+def _page(uri: str | None) -> int | None:
+    m = re.fullmatch(r"<urn:page:(-?\d+)>", uri or "")
+    return int(m[1]) if m else None
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = [x.split()[0] for x in PARSED.split(", ")], (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
+    for batch in batches:
+        for content in batch.column(0):
+            data = content.as_py()
+            rows = []
+            for f, head, block in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                revisit, said = f["warc-type"] == "revisit", f["warc-payload-digest"].removeprefix("sha1:")
+                if not revisit and hashlib.sha1(block).hexdigest() != said:
+                    raise ValueError(f"damaged WARC payload {f.get('warc-record-id')}")
+                rows.append((_page(f["warc-record-id"]), f["warc-type"], _page(f.get("warc-refers-to")), said, None if revisit else len(block), f.get("warc-target-uri"), head))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files below path (PARSED), plain or compressed by gzip, parsed and checked against their digests.
+
+    payload_digest and payload_bytes are those of the full payload: a revisit has them from the response it refers to, and one whose
+    response is missing or holds another payload stops the job. Files without records give no rows.
+    """
+    rows = materialize(spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, PARSED), "warc-records")
+    key = [F.col("id").alias("refers_to"), "payload_digest"]
+    asked = rows.where(F.col("record_type") == "revisit").groupBy("refers_to", "payload_digest").agg(F.count("*").alias("n"))
+    held = rows.where(F.col("record_type") != "revisit").groupBy(*key).agg(F.first("payload_bytes").alias("found"))
+    groups = materialize(asked.join(held, ["refers_to", "payload_digest"]), "warc-referred")
+    revisits = lookup(rows.where(F.col("record_type") == "revisit"), groups, ["refers_to", "payload_digest"], "n")
+    size = F.coalesce("found", F.raise_error(F.concat(F.lit("no response for "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("long"))
+    return rows.where(F.col("record_type") != "revisit").unionByName(revisits.withColumn("payload_bytes", size).select(*rows.columns))
