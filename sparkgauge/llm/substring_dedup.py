@@ -1,12 +1,15 @@
-"""Substring dedup by hashing of lines, sentences and word windows.
+"""Substring dedup by hashing of lines, sentences and word runs.
 
-Units are lines and the sentences in them, so a passage is found wherever it stands in its line. A unit is
+Units are lines, the sentences in them, and runs of ANCHOR_WORDS words that the text itself marks out. A unit is
 normalised (lower case, single spaces) and hashed; digests are grouped over all documents; the occurrence
 that comes first stays and the others are removed, with their offsets in the original text retained.
 
-Passages are runs of PASSAGE_WORDS words or more, whatever their lines, sentences and surroundings. Every window
-of that many words has an anchor, the least hash of the shorter windows in it; equal windows have equal anchors, so only
-windows whose anchor occurs again are hashed and grouped, and those that follow one another are merged.
+A run is marked out (an anchor) if its hash is the least among the runs within some PASSAGE_WORDS words in a row. That depends on
+those words only, so every passage of PASSAGE_WORDS words or more that occurs again has a unit in common with its first
+occurrence, whatever its lines, sentences and surroundings. Units that follow one another in both places are merged, and
+the ends are moved outwards, word by word, as far as both places agree.
+
+Words stand between white space; in scripts that don't space their words, every character is one.
 """
 
 from __future__ import annotations
@@ -22,11 +25,21 @@ from pyspark.sql import functions as F
 
 from .common import discard, lookup, materialize
 
-#: Shorter units recur by chance and are left alone.
-MIN_WORDS = 8
-#: Repeated runs of this many words are passages; an anchor is the hash of ANCHOR_WORDS of them.
+#: Shorter lines and sentences recur without being copies (bylines, menus, licences, set phrases) and are left alone.
+MIN_WORDS = 20
+#: Repeated runs of this many words are passages; an anchor is one of ANCHOR_WORDS of them. Apart by PASSAGE_WORDS - ANCHOR_WORDS + 1 at most.
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 36
-LINE, SENTENCE_END = re.compile(r"[^\n]+"), re.compile(r"(?<=[.!?])\s+")
+LINE, SENTENCE_END = re.compile(r"[^\n]+"), re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+#: Thai to Tibetan, Myanmar, Khmer, Japanese and Chinese: scripts without spaces between words.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_LETTER, WORD = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+
+
+def split_words(text: str) -> list[str]:
+    """The lower-case words of a text, as many as WORD finds in it."""
+    if text.isascii() or not UNSPACED_LETTER.search(text):
+        return text.lower().split()
+    return [m.lower() for m in WORD.findall(text)]
 
 
 def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[str, int, int, int, bytes]]:
@@ -39,7 +52,7 @@ def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[str, i
         edges.append(len(line))
         spans = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a]
         for level, (a, b) in [("line", (0, len(line)))] + [("sentence", s) for s in spans] * (len(spans) > 1):
-            words = line[a:b].lower().split()
+            words = split_words(line[a:b])
             if len(words) >= min_words:
                 yield level, at + a, at + b, len(words), blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
 
@@ -86,7 +99,6 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 #: Bases of the rolling hashes, odd so that they have inverses.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-WORD = re.compile(r"\S+")
 
 
 class _Words(dict):
@@ -136,16 +148,10 @@ def _slide(best: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def _least(short: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of each window of size words, and the mixed hashes of the shorter windows."""
-    mixed = _mixed(short)
-    return _slide(np.minimum, mixed, size - anchor + 1), mixed
-
-
-def _chosen(least: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-    """The shorter windows that are anchors, at each of their places."""
-    edge = np.zeros(len(mixed) - len(least), np.uint64)
-    return mixed[_slide(np.maximum, np.concatenate([edge, least, edge]), len(edge) + 1) == mixed]
+def _is_anchor(mixed: np.ndarray, width: int) -> np.ndarray:
+    """Of runs by their hashes, those that are the least of some width of them in a row."""
+    edge = np.zeros(width - 1, np.uint64)
+    return _slide(np.maximum, np.concatenate([edge, _slide(np.minimum, mixed, width), edge]), width) == mixed
 
 
 def _anchors(size: int, anchor: int):
@@ -155,13 +161,13 @@ def _anchors(size: int, anchor: int):
             starts, ends, counts, found = [], [], [], []
             for text in batch.column("text"):
                 t = text.as_py()
-                words = t.lower().split()
+                words = split_words(t)
                 if len(words) < size:
                     starts.append(None), ends.append(None), counts.append(None), found.append(None)
                     continue
-                chosen = _chosen(*_least(roll(_hashes(words, cache), anchor), size, anchor))
+                mixed = _mixed(roll(_hashes(words, cache), anchor))
                 starts.append(len(t) - len(t.lstrip())), ends.append(len(t.rstrip())), counts.append(len(words))
-                found.append(chosen.view(np.int64))
+                found.append(mixed[_is_anchor(mixed, size - anchor + 1)].view(np.int64))
             columns = [batch.column("doc_id"), batch.column("row_uid"), batch.column("body"), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
             out = pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_uid", "body", "start", "end", "words", "anchors"])
             yield out.filter(out.column("words").is_valid())
@@ -169,12 +175,12 @@ def _anchors(size: int, anchor: int):
     return run
 
 
-WINDOWS = "doc_id long, row_uid long, weight long, at int, start int, end int, after int, high long, low long"
+RUNS = "doc_id long, row_uid long, weight long, at int, start int, end int, after int, high long, low long"
 
 
-def _windows(size: int, anchor: int):
-    """Windows whose anchor is among the given ones; after is where the next word begins."""
-    names = [x.split()[0] for x in WINDOWS.split(", ")]
+def _runs(size: int, anchor: int):
+    """Anchors of texts that are among the given ones; at counts words, and after is where the next word begins."""
+    names = [x.split()[0] for x in RUNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, rolls = _Words(), [_Rolling(b) for b in BASES]
@@ -182,17 +188,13 @@ def _windows(size: int, anchor: int):
             held, n = [], 0
             for *same, text, given in zip(*(batch.column(c) for c in ("doc_id", "row_uid", "weight", "text", "anchors")), strict=True):
                 t = text.as_py()
-                hashes = _hashes(t.lower().split(), cache)
-                least, _ = _least(rolls[0](hashes, anchor), size, anchor)
-                edges = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                again = np.isin(least[edges].view(np.int64), given.values.to_numpy())
-                picked = np.flatnonzero(np.repeat(again, np.diff(np.append(edges, len(least)))))
-                if not len(picked):
-                    continue
+                hashes = _hashes(split_words(t), cache)
+                mixed = _mixed(rolls[0](hashes, anchor))
+                picked = np.flatnonzero(_is_anchor(mixed, size - anchor + 1) & np.isin(mixed.view(np.int64), given.values.to_numpy()))
                 places = np.array([m.span() for m in WORD.finditer(t)], np.int32)
                 after = np.append(places[1:, 0], np.int32(len(t)))
-                high, low = (roll(h, size)[picked].view(np.int64) for roll, h in zip(rolls, (hashes, _mixed(hashes)), strict=True))
-                last = picked + size - 1
+                high, low = (roll(h, anchor)[picked].view(np.int64) for roll, h in zip(rolls, (hashes, _mixed(hashes)), strict=True))
+                last = picked + anchor - 1
                 rest = [picked.astype(np.int32), places[picked, 0], places[last, 1], after[last], high, low]
                 held.append([*(pa.repeat(v, len(picked)) for v in same), *map(pa.array, rest)])
                 n += len(picked)
@@ -205,15 +207,75 @@ def _windows(size: int, anchor: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
-    """Every run of size words or more that an earlier place holds too, in the columns of repeated_units; level is passage.
+CONTEXTS = "row_uid long, side int, at int, words array<long>, places array<int>"
+
+
+def _contexts(reach: int):
+    """The words before (side 0) or from (side 1) each given place of a text, nearest first, ``reach`` at most, and where they start or end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, names = _Words(), [x.split()[0] for x in CONTEXTS.split(", ")]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        for batch in batches:
+            rows = []
+            for uid, text, asked in zip(*(batch.column(c) for c in ("row_uid", "text", "asked")), strict=True):
+                t = text.as_py()
+                hashes, places = _hashes(split_words(t), cache).view(np.int64), [m.span() for m in WORD.finditer(t)]
+                for x in asked.as_py():
+                    side, at = x["side"], x["at"]
+                    span = range(at - 1, max(at - 1 - reach, -1), -1) if side == 0 else range(at, min(at + reach, len(places)))
+                    rows.append((uid.as_py(), side, at, hashes[list(span)], [places[i][side] for i in span]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
 
-    Rank and offsets are those of repeated_units. A run ends where the earlier place does, keep_start is where that begins, and copies is
-    the least count of its windows. Where a run overlaps its own earlier place, as in a word said a hundred times,
-    the first size words stay. Later rows of equal text are passages as a whole.
+def _widened(spans: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
+    """spans whose ends are moved outwards, by up to reach words, as far as the text and the earlier one agree.
+
+    No unit lies further out, so an end that could go on has another span there. Contexts are fetched once for each place of a text
+    that spans start or end at, of which a text has at most as many as words, however many spans lead to it.
+    """
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("from").alias("at")), F.struct(F.lit(1).alias("side"), F.col("to").alias("at"))))
+    sides = spans.where(~F.col("own")).withColumn("end", ends).select("span", "row_uid", "end.side", "end.at", F.col("keep_uid").alias("k_uid"), (F.col("end.at") - F.col("shift")).alias("k_at"))
+    sides = materialize(sides, "span-ends")
+    mine = sides.groupBy("row_uid", "side", "at").agg(F.count("*").alias("n"))
+    kept = sides.groupBy(F.col("k_uid").alias("row_uid"), "side", F.col("k_at").alias("at")).agg(F.count("*").alias("n"))
+    asked = mine.unionByName(kept).groupBy("row_uid").agg(F.collect_set(F.struct("side", "at")).alias("asked"))
+    found = materialize(texts.select("row_uid", "text").join(asked, "row_uid").mapInArrow(_contexts(reach), CONTEXTS), "contexts")
+    key = ["row_uid", "side", "at"]
+    first = lookup(sides, materialize(found.join(mine, key), "own-contexts"), key, "n", how="inner").drop("n")
+    first = materialize(first.withColumnsRenamed({"words": "own_words", "places": "own_places"}), "ends-here")
+    theirs = materialize(found.join(kept, key).select(F.col("row_uid").alias("k_uid"), "side", F.col("at").alias("k_at"), "words", "places", "n"), "kept-contexts")
+    both = lookup(first, theirs, ["k_uid", "side", "k_at"], "n", how="inner")
+    same = F.zip_with("own_words", "words", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    differ = F.array_position(same, False)
+    n = F.when(differ > 0, differ - 1).otherwise(F.size(same)).cast("int")
+    at = lambda places: F.when(F.col("more") > 0, F.get(places, F.col("more") - 1))
+    moved = both.withColumn("more", n).select("span", "side", "more", at("own_places").alias("own_place"), at("places").alias("keep_place"))
+    left = lambda c: F.max(F.when(F.col("side") == 0, F.col(c)))
+    moved = moved.groupBy("span").agg(left("own_place").alias("new_start"), left("keep_place").alias("new_keep"), F.max(F.when(F.col("side") == 1, F.col("own_place"))).alias("new_end"), F.sum("more").cast("int").alias("more"))
+    wide = spans.join(moved, "span", "left")
+    wide = wide.withColumns({"start": F.coalesce("new_start", "start"), "end": F.coalesce("new_end", "end"), "keep_start": F.coalesce("new_keep", "keep_start"), "words": F.col("words") + F.coalesce("more", F.lit(0))})
+    # units that the first text doesn't mark out lead elsewhere, often to the same words: the earliest text counts
+    first = F.min(F.struct(F.col("keep_doc_id").isNull().alias("no_id"), "keep_doc_id", "keep_uid", "keep_start"))
+    one = wide.groupBy("row_uid", "start", "end").agg(F.first("doc_id").alias("doc_id"), F.first("level").alias("level"), F.first("words").alias("words"), first.alias("keep"), F.max("copies").alias("copies"))
+    return materialize(one.select("*", "keep.keep_doc_id", "keep.keep_start").drop("keep"), "wide-spans")
+
+
+def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+    """The runs of words that an earlier place holds too, in the columns of repeated_units; level is passage.
+
+    Rank and offsets are those of repeated_units. Every repeated run of size words or more is found, with all words on which it agrees
+    with the earlier place that its units lead to; where they lead to several places, spans may overlap, and up to size - anchor words at an
+    end can be missing. Of shorter runs, those of anchor words or more are found where a unit lies in them. keep_start is where the run begins in the
+    earlier place, and copies the least count of its units. Where a run overlaps its own earlier place, as in a word said a hundred times,
+    the first anchor words stay; runs with an earlier place in their own text are not widened. Later rows of equal text are passages as a whole.
+    Null, empty and shorter texts have none; an empty table gives no rows.
     """
     uid = F.col("row_uid") if "row_uid" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(F.col("doc_id").cast("long"), uid.alias("row_uid"), F.col("text").cast("string")).where(F.length("text") >= 2 * size - 1)
+    rows = docs.select(F.col("doc_id").cast("long"), uid.alias("row_uid"), F.col("text").cast("string")).where(F.length("text") >= size)
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     rows = rows.withColumn("body", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     texts = materialize(rows.mapInArrow(_anchors(size, anchor), "doc_id long, row_uid long, body binary, start int, end int, words int, anchors array<long>"), "texts")
@@ -232,38 +294,39 @@ def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, anchor: int =
     # The text is found again by its digest and doc_id, as a row's number may differ from one reading to the next.
     wanted = firsts.select("doc_id", "row_uid", "body", "weight").join(met, "row_uid").select(F.concat("body", doc).alias("spot"), "doc_id", "row_uid", "weight", "anchors")
     again = rows.select(F.concat("body", doc).alias("spot"), "text").join(wanted, "spot").dropDuplicates(["spot"])
-    found = materialize(again.select("doc_id", "row_uid", "weight", "text", "anchors").mapInArrow(_windows(size, anchor), WINDOWS), "windows")
-
+    again = materialize(again.select("doc_id", "row_uid", "weight", "text", "anchors"), "again")
     discard(often, known)
+    found = materialize(again.mapInArrow(_runs(size, anchor), RUNS), "runs")
 
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_uid", "at", "start", "after")
     groups = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.sum("weight").alias("copies")).where(F.col("n") > 1)
     first = {"keep_doc_id": "doc_id", "keep_uid": "row_uid", "keep_at": "at", "keep_start": "start", "keep_after": "after"}
     groups = materialize(groups.select("high", "low", *[F.col(f"first.{c}").alias(k) for k, c in first.items()], "n", "copies"), "passages")
-    discard()
     later = lookup(found, groups, ["high", "low"], "n", how="inner").where((F.col("row_uid") != F.col("keep_uid")) | (F.col("at") != F.col("keep_at")))
     own = F.col("row_uid") == F.col("keep_uid")
     later = later.select(
-        "doc_id", "row_uid", "at", "end", "keep_uid", "keep_doc_id", "keep_start", "copies",
+        "doc_id", "row_uid", "at", "end", "keep_uid", "keep_doc_id", "keep_start", "copies", own.alias("own"),
         F.when(own, F.greatest("start", "keep_after")).otherwise(F.col("start")).alias("start"),
-        F.when(own, F.greatest("at", F.col("keep_at") + size)).otherwise(F.col("at")).alias("from"),
+        F.when(own, F.greatest("at", F.col("keep_at") + anchor)).otherwise(F.col("at")).alias("from"),
         F.when(own, 0).otherwise(F.col("at") - F.col("keep_at")).alias("shift"),
     )
-    w = Window.partitionBy("row_uid").orderBy("at")
-    follows = (F.col("at") == F.lag("at").over(w) + 1) & (F.col("keep_uid") == F.lag("keep_uid").over(w)) & (F.col("shift") == F.lag("shift").over(w))
-    runs = later.withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(w))
-    spans = runs.groupBy("row_uid", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") + size - F.min("from")).cast("int").alias("words"),
+    w = Window.partitionBy("row_uid", "keep_uid", "shift").orderBy("at")
+    follows = F.col("at") <= F.lag("at").over(w) + anchor
+    merged = later.withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(w))
+    spans = merged.groupBy("row_uid", "keep_uid", "shift", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.first("own").alias("own"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("from").alias("from"), (F.max("at") + anchor).alias("to"),
         F.first("keep_doc_id").alias("keep_doc_id"), F.min("keep_start").alias("keep_start"), F.min("copies").alias("copies"),
     )
-    spans = spans.select("doc_id", "row_uid", F.lit("passage").alias("level"), "start", "end", "words", "keep_doc_id", "keep_start", "copies")
-    out = materialize(copies.unionByName(spans), "spans")
-    discard(found, groups, copies)
-    return out
+    spans = spans.withColumns({"span": F.monotonically_increasing_id(), "level": F.lit("passage"), "words": (F.col("to") - F.col("from")).cast("int")})
+    spans = materialize(spans, "spans")
+    discard(found, groups)
+    wide = _widened(spans, again, size - anchor)
+    discard(spans, again)
+    return copies.unionByName(wide.select(copies.columns))
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Repeated units and repeated passages of docs, which has row_uid or is numbered here."""
+    """Repeated units and repeated passages of docs, which has row_uid or is numbered here. See repeated_units and repeated_passages."""
     kept = docs if "row_uid" in docs.columns else docs.withColumn("row_uid", F.monotonically_increasing_id())
     passages = repeated_passages(kept)
     return repeated_units(kept, min_words).unionByName(passages)

@@ -188,10 +188,10 @@ def test_very_many_secrets_in_one_text_take_linear_time():
 
 def test_repeats_match_a_dictionary(spark):
     rng = random.Random(3)
-    common = words(rng, 12) + "."
+    common = words(rng, 24) + "."
     rows = []
     for i in range(60):
-        parts = [words(rng, rng.randint(1, 15)) + "." for _ in range(rng.randint(0, 4))]
+        parts = [words(rng, rng.randint(1, 30)) + "." for _ in range(rng.randint(0, 4))]
         if i % 3 == 0:
             parts.insert(rng.randint(0, len(parts)), common.upper() if i % 2 else common.replace(" ", "  "))
         rows.append((100 - i, rng.choice([" ", "\n"]).join(parts)))
@@ -226,25 +226,98 @@ def test_passages_match_all_windows(spark):
         body = body[:at] + (["X" + put[0].upper()] if i == 7 else []) + put + body[at:]
         rows.append((50 - i, "".join(w + rng.choice([" ", "  ", "\n", " \n\n"]) for w in body)))
     rows += [(90, rows[3][1]), (91, rows[3][1].upper()), (None, rows[4][1]), (93, "spam " * 130), (94, "İ " + " ".join(passage)), (95, None), (96, " ".join(passage[:49]))]
-    first, removed = {}, {}
+    first, repeated = {}, {}
     for uid, (i, t) in sorted(enumerate(rows), key=lambda r: (r[1][0] is None, r[1][0] or 0, r[0])):
         own = t.lower().split() if t else []
         for p in range(len(own) - 49):
             k = first.setdefault(tuple(own[p : p + 50]), (uid, p))
             if k != (uid, p):
-                removed.setdefault(uid, set()).update(range(max(p, k[1] + 50) if k[0] == uid else p, p + 50))
+                repeated.setdefault(uid, set()).update(range(p, p + 50))
     given = spark.createDataFrame([(i, uid, t) for uid, (i, t) in enumerate(rows)], "doc_id long, row_uid long, text string")
     got: dict = {}
+    low = lambda t, a, b: t[a:b].lower().split()
+    by_doc: dict = {}
+    for i, t in rows:
+        by_doc.setdefault(i, []).append(t)
+    spans = []
     for r in R.repeated_passages(given.repartition(5)).collect():
-        places = [m.span() for m in re.finditer(r"\S+", rows[r.row_uid][1])]
+        text = rows[r.row_uid][1]
+        places = [m.span() for m in re.finditer(r"\S+", text)]
         inside = [n for n, (a, b) in enumerate(places) if r.start <= a and b <= r.end]
         assert r.level == "passage" and len(inside) == r.words and places[inside[0]][0] == r.start and places[inside[-1]][1] == r.end and r.copies > 1
+        mine = low(text, r.start, r.end)
+        assert r.doc_id == 93 or any(low(t, r.keep_start, len(t))[: r.words] == mine and r.words >= 36 for t in by_doc[r.keep_doc_id])
+        spans.append((r, inside))
         got.setdefault(r.row_uid, set()).update(inside)
-    assert got == removed and len(got) > 10
+    for r, inside in spans:  # as far as both agree, or to words that another span has
+        own, keeps = rows[r.row_uid][1].lower().split(), [t for t in by_doc[r.keep_doc_id] if r.doc_id != 93]
+        for t in keeps:
+            at, keep = len(t[: r.keep_start].split()), t.lower().split()
+            if keep[at : at + r.words] == own[inside[0] : inside[-1] + 1]:
+                before, after = own[: inside[0]][-1:] == keep[:at][-1:] != [], own[inside[-1] + 1 :][:1] == keep[at + r.words :][:1] != []
+                assert (not before or inside[0] - 1 in got[r.row_uid]) and (not after or inside[-1] + 1 in got[r.row_uid])
+    assert len(repeated) > 10 and set(repeated) - set(got) == set()
+    for uid, at in repeated.items():
+        if rows[uid][0] == 93:
+            assert at - got[uid] == set(range(1, 36))
+            continue
+        missing = at - got[uid]  # at the ends of a run only, where several earlier places hold parts of it
+        assert all(not set(range(p - 14, p + 15)) <= at for p in missing) and len(missing) <= 14
+    assert sum(not at - got[uid] for uid, at in repeated.items()) > 0.6 * len(repeated)
     clean = R.remove_repeats(given.drop("row_uid")).collect()
     assert sum(" ".join(short) in " ".join((r.text or "").split()) for r in clean) == 1 and R.repeated_passages(given.where("false")).count() == 0
 
 
+def units_by_hand(text):
+    """Lines and sentences of 20 words or more, read off the definition character by character."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        cuts, i = [0], 0
+        while i < len(line):
+            if line[i] in ".!?" and i + 1 < len(line) and line[i + 1].isspace():
+                j = i + 1
+                while j < len(line) and line[j].isspace():
+                    j += 1
+                cuts += [i + 1, j]
+                i = j
+            else:
+                i += 1
+        cuts.append(len(line))
+        spans = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b]
+        for level, (a, b) in [("line", (0, len(line)))] * bool(line) + [("sentence", x) for x in spans] * (len(spans) > 1):
+            if len(line[a:b].split()) >= 20:
+                out.append((level, at + a, at + b, len(line[a:b].split())))
+        at += len(line) + 1
+    return out
+
+
+def test_units_match_their_definition():
+    rng = random.Random(16)
+    for _ in range(50):
+        text = "".join(words(rng, rng.randint(1, 25)) + rng.choice([". ", "! ", "?\t", "\n", "\n\n", ".x "]) for _ in range(12))
+        assert [u[:4] for u in R.units(text)] == units_by_hand(text)
+
+
+def test_scripts_without_spaces_have_units(spark):
+    rng = random.Random(17)
+    zh = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    passage, line = zh(70), zh(25) + "。"
+    rows = [(1, zh(40) + passage + zh(30)), (2, zh(9) + passage + zh(80)), (3, line + "\n" + zh(60)), (4, zh(60) + "。" + line + zh(50)), (5, zh(500))]
+    got = {(r.level, r.doc_id): rows[r.doc_id - 1][1][r.start : r.end] for r in R.repeats(plain(spark, rows)).collect()}
+    assert got == {("passage", 2): passage, ("sentence", 4): line}
+
+
+def test_a_very_long_text_and_a_hot_passage(spark):
+    rng = random.Random(18)
+    passage = words(rng, 60)
+    rows = [(i, words(rng, 20) + " " + passage + " " + words(rng, 20)) for i in range(200)] + [(999, words(rng, 150_000) + " " + passage)]
+    got = R.repeated_passages(plain(spark, rows)).collect()
+    text = dict(rows)
+    assert sorted({r.doc_id for r in got}) == [*range(1, 200), 999]
+    whole = {r.doc_id for r in got if passage in text[r.doc_id][r.start : r.end] and r.keep_doc_id == 0 and r.copies > 1}
+    assert whole == {*range(1, 200), 999} and all(r.words < 70 for r in got)
+
+
 # languages
 
 
