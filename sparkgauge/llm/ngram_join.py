@@ -2,13 +2,15 @@
 
 1. Every text becomes the set of its five-word shingles (64-bit hashes), a MinHash signature and a fingerprint of the set.
    Texts with equal sets are one class, and only one row of a class takes part from here on.
-2. Classes that share a band of the signature are linked, as a star around the smallest, and connected components
-   of these links hold every candidate pair. No pair is written out.
-3. A component's classes, sorted by set size, are dealt in blocks, and pairs of blocks are compared, each in a task. Of two
-   blocks whose sizes rule a match out, nothing is compared. MinHash values are compared step by step; a pair
-   is dropped as soon as the posterior probability that its similarity reaches the threshold falls below the
-   tolerance; what remains is verified exactly on the shingle sets.
+2. Classes that share a band of the signature are candidates. Each band's classes are compared, those of a large one in pairs of blocks:
+   MinHash values step by step, and a pair is dropped as soon as the posterior probability that its similarity reaches the
+   threshold falls below the tolerance. Of the pairs that remain, a task returns a spanning forest only.
+3. Components of these forests hold every remaining pair. A component's classes, sorted by set size and dealt in
+   blocks where they are many, are compared again, each pair of blocks in a task, and what remains is verified exactly on the
+   shingle sets. Of two blocks whose sizes rule a match out, nothing is compared.
 4. A task returns each class's number of links and a spanning forest, and components of the forests are the groups.
+
+No pair is ever written out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, lookup, materialize
+from .common import discard, keep_rows, lookup, materialize
 from .components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -30,8 +32,8 @@ WORDS, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 32, 1e-6
-#: Classes in a block.
-BLOCK = 128
+#: Classes in a block when signatures are compared, and when sets are; shingles of the latter, unless a single set has more.
+SIGN_BLOCK, BLOCK, BLOCK_SHINGLES = 512, 128, 500_000
 #: Against rounding where whole numbers are compared.
 SLACK = 1e-6
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -68,11 +70,11 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def signature(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """MinHash values (upper 32 bits) of one set."""
+    """MinHash values of one set, scrambled to 16 bits: different ones are equal with probability 2**-16, which only adds candidates."""
     out = np.full(HASHES, np.uint64(2**64 - 1))
     for i in range(0, len(sets), 512):
         out = np.minimum(out, (a[:, None] * sets[None, i : i + 512] + b[:, None]).min(axis=1))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (_scramble(out) >> np.uint64(48)).astype(np.uint16)
 
 
 def prune_limits(threshold: float, tolerance: float) -> list[int]:
@@ -113,7 +115,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, n, ROWS).astype(np.uint64)
+        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, n, ROWS).astype(np.uint64)
         key = np.zeros(rows.shape[:2], np.uint64)
         for i in range(ROWS):
             key = _scramble(key + rows[:, :, i] + np.uint64(1))
@@ -121,6 +123,112 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n))], names=["band", "node"])
 
 
+def _forest(sides: np.ndarray, sizes: np.ndarray, signs: np.ndarray, threshold: float, limits: list[int]) -> list[tuple[int, int]]:
+    """Edges (position, root) of a spanning forest of the pairs that pruning leaves. Where both sides occur, only pairs across them count.
+
+    A class that a component has reached is compared no more, which leaves the components as they are.
+    """
+    first = signs[:, :STEP]
+    if len(sizes) <= 32:
+        matches = (first[:, None, :] == first[None, :, :]).sum(axis=2, dtype=np.uint8)
+    else:
+        matches = np.zeros((len(sizes), len(sizes)), np.uint8)
+        for column in np.ascontiguousarray(first.T):
+            matches += column[:, None] == column[None, :]
+    near = (matches > limits[0]) & (np.minimum.outer(sizes, sizes) + SLACK >= threshold * np.maximum.outer(sizes, sizes))
+    if sides.any():
+        near &= sides[:, None] != sides[None, :]
+    np.fill_diagonal(near, False)
+    left, out = near.any(axis=1), []
+    for root in np.flatnonzero(left).tolist():
+        if not left[root]:
+            continue
+        left[root], todo = False, [root]
+        while todo:
+            x = todo.pop()
+            met = np.flatnonzero(near[x] & left)
+            total = matches[x, met].astype(np.int32)
+            for step, limit in enumerate(limits[1:], 1):
+                at = slice(step * STEP, (step + 1) * STEP)
+                total += (signs[met, at] == signs[x, at]).sum(axis=1, dtype=np.int32)
+                met, total = met[total > limit], total[total > limit]
+            left[met] = False
+            todo += met.tolist()
+            out += [(y, root) for y in met.tolist()]
+    return out
+
+
+def _survivors(threshold: float, tolerance: float):
+    """Rows sorted by group and pair of blocks: (group, left, right, side, node, size, signature) -> (a, b), a forest of the pairs that pruning leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits, key, rows, out = prune_limits(threshold, tolerance), None, [], []
+
+        def settle() -> None:
+            if len(rows) > 1:
+                sides, nodes, sizes, signs = zip(*rows, strict=True)
+                found = _forest(np.array(sides), np.array(sizes), np.frombuffer(b"".join(signs), np.uint16).reshape(len(rows), HASHES), threshold, limits)
+                out.extend((nodes[x], nodes[y]) for x, y in found)
+            rows.clear()
+
+        def flush() -> pa.RecordBatch:
+            a, b = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for *k, side, node, size, sign in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    settle()
+                    key = k
+                    if len(out) > 50_000:
+                        yield flush()
+                rows.append((side, node, size, sign))
+        settle()
+        if out:
+            yield flush()
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, threshold: float, block: int, load: int | None = None) -> DataFrame:
+    """rows (group, node, size, whole) for each pair of blocks they take part in: group, left, right, side, node.
+
+    A group that is whole is one block. Another is cut by size, and further by hash into blocks of about ``block`` rows and ``load`` in
+    sizes; sets of sizes in bands that are neither equal nor next to each other differ too much, so such blocks don't meet.
+    """
+    band_of = F.floor(F.log("size") / math.log(1 / threshold) + 1e-9)
+    small = rows.where("whole").select("group", *[F.lit(0).cast("long").alias(c) for c in ("left", "right")], F.lit(0).alias("side"), "node")
+    big = rows.where(~F.col("whole")).select("group", "node", "size", band_of.alias("size_band"))
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / (load or 1)) if load else F.lit(1))
+    counts = materialize(big.groupBy("group", "size_band").agg(F.count("*").alias("n"), F.sum("size").alias("total")).withColumn("n_blocks", F.least(parts, F.col("n")).cast("long")).drop("total"), "size-bands")
+    number = lambda block: F.col("size_band") * 2**32 + block
+    dealt = lookup(big, counts, ["group", "size_band"], "n").select("group", "node", number(F.pmod(F.xxhash64("node"), F.col("n_blocks"))).alias("block"))
+    edges = counts.select("group", "size_band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("at")).select("group", "size_band", number(F.col("at")).alias("block"))
+    x, y = edges.withColumnRenamed("block", "left"), edges.withColumnRenamed("block", "right")
+    near = x.join(y, ["group", "size_band"]).where(F.col("left") <= F.col("right"))
+    pairs = materialize(near.unionByName(x.join(y.withColumn("size_band", F.col("size_band") - 1), ["group", "size_band"])).drop("size_band"), "block-pairs")
+    sides = pairs.select("group", "left", "right", F.col("left").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where(F.col("left") < F.col("right")).select("group", "left", "right", F.col("right").alias("block"), F.lit(1).alias("side")))
+    return small.unionByName(dealt.join(sides, ["group", "block"]).select("group", "left", "right", "side", "node"))
+
+
+def candidates(classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """(node, component) of the classes (node, size, signature) that pruning leaves with a candidate.
+
+    Only pairs that share a band are compared. Bands of the very same classes count as one. An empty set has no candidates.
+    """
+    h = F.xxhash64("node")
+    bands = materialize(classes.where(F.col("size") > 0).select("node", "signature").mapInArrow(_bands, "band long, node long"), "bands")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")).where(F.col("n") > 1)
+    shared = materialize(shared.groupBy("n", "low", "x", "y").agg(F.min("band").alias("band")).select("band", "n"), "shared-bands")
+    members = lookup(bands, shared, ["band"], "n", how="inner").join(classes.select("node", "size"), "node")
+    rows = _in_blocks(materialize(members.select(F.col("band").alias("group"), "node", "size", (F.col("n") <= SIGN_BLOCK).alias("whole")), "band-members"), threshold, SIGN_BLOCK)
+    discard(bands)
+    rows = rows.join(classes.select("node", "size", "signature"), "node").select("group", "left", "right", "side", "node", "size", "signature")
+    rows = rows.repartitionByRange("group", "left", "right").sortWithinPartitions("group", "left", "right")
+    return materialize(connected_components(materialize(rows.mapInArrow(_survivors(threshold, tolerance), "a long, b long"), "survivors")), "candidates")
+
+
 def _links(left: list, right: list, threshold: float, limits: list[int], same: bool) -> Iterator[tuple[int, int]]:
     """Positions of the similar pairs of two blocks; a block with itself gives each pair once."""
     sizes = [np.array([len(x[3]) for x in side]) for side in (left, right)]
@@ -164,14 +272,14 @@ def _links(left: list, right: list, threshold: float, limits: list[int], same: b
 
 
 def _compare(threshold: float, tolerance: float):
-    """Rows sorted by component and pair of blocks: (key, side, node, copies, signature, words) -> (node, links, link_docs, root)."""
+    """Rows sorted by group and pair of blocks: (group, left, right, side, node, copies, signature, words) -> (node, links, link_docs, root)."""
 
     def settle(key: tuple | None, rows: list, limits: list[int]) -> Iterator[tuple[int, int, int, int]]:
         seen, sides = set(), ([], [])
         for side, node, copies, sign, words in rows:
             if (side, node) not in seen:  # a row that occurs twice in docs
                 seen.add((side, node))
-                sides[side].append((node, copies, np.frombuffer(sign, np.uint32), shingles(words)))
+                sides[side].append((node, copies, np.frombuffer(sign, np.uint16), shingles(words)))
         same = key is None or key[1] == key[2]
         if not sides[0] or not (same or sides[1]):
             return
@@ -239,31 +347,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     classes = sketches.groupBy("print").agg(first.alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "print", "copies", "size", "signature", F.col("first.doc_id").alias("class_id"), F.col("first.row_uid").alias("class_uid"), F.col("first.text_hash").alias("text_hash")), "classes")
 
-    # candidates: stars in the bands that several classes share
-    bands = classes.where(F.col("size") > 0).select("node", "signature").mapInArrow(_bands, "band long, node long")
-    bands = materialize(bands, "bands")
-    shared = materialize(bands.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where(F.col("n") > 1), "shared-bands")
-    stars = lookup(bands, shared, ["band"], "n", how="inner").where(F.col("node") != F.col("low")).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    component = materialize(connected_components(stars), "candidates")
-
-    # blocks of each component by size, and the pairs of blocks that can match: sets of sizes in bands that are
-    # neither equal nor next to each other differ too much
-    band_of = F.floor(F.log("size") / math.log(1 / threshold) + 1e-9)
-    dealt = classes.join(component, "node").select("node", "component", band_of.alias("size_band"), "copies", "signature", "class_id", "text_hash")
-    counts = materialize(dealt.groupBy("component", "size_band").agg(F.count("*").alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / BLOCK)), "size-bands")
-    number = lambda block: F.col("size_band") * 2**40 + block
-    dealt = lookup(dealt, counts, ["component", "size_band"], "n").withColumn("block", number(F.pmod(F.xxhash64("node"), F.col("n_blocks"))))
-    dealt = materialize(dealt.drop("size_band", "n", "n_blocks"), "blocks")
-    edges = counts.select("component", "size_band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("at")).select("component", "size_band", number(F.col("at")).alias("block"))
-    x, y = edges.withColumnRenamed("block", "left"), edges.withColumnRenamed("block", "right")
-    near = x.join(y, ["component", "size_band"]).where(F.col("left") <= F.col("right"))
-    pairs = materialize(near.unionByName(x.join(y.withColumn("size_band", F.col("size_band") - 1), ["component", "size_band"])).drop("size_band"), "block-pairs")
-    sides = pairs.select("component", "left", "right", F.col("left").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where(F.col("left") < F.col("right")).select("component", "left", "right", F.col("right").alias("block"), F.lit(1).alias("side")))
+    component = candidates(classes, threshold, tolerance)
+    held = classes.join(component, "node").select("node", "component", "size")
+    totals = materialize(held.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "components")
+    held = lookup(held, totals, ["component"], "n").select(F.col("component").alias("group"), "node", "size", ((F.col("n") <= BLOCK) & (F.col("total") <= BLOCK_SHINGLES)).alias("whole"))
+    dealt = materialize(_in_blocks(materialize(held, "component-members"), threshold, BLOCK, BLOCK_SHINGLES), "dealt")
     texts = docs.select(*key, F.col("text").cast("string").alias("text")).withColumnsRenamed({"doc_id": "t_id", "text_hash": "t_hash"})
-    members = texts.join(dealt, F.col("t_id").eqNullSafe(F.col("class_id")) & (F.col("t_hash") == F.col("text_hash"))).select("node", "component", "block", "copies", "signature", "text")
-    rows = materialize(members, "members").join(sides, ["component", "block"]).select("component", "left", "right", "side", "node", "copies", "signature", "text")
+    wanted = classes.join(component, "node").select("node", "copies", "signature", "class_id", "text_hash")
+    members = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("class_id")) & (F.col("t_hash") == F.col("text_hash"))).select("node", "copies", "signature", "text")
+    rows = materialize(members, "members").join(dealt, "node").select("group", "left", "right", "side", "node", "copies", "signature", "text")
     # by range, as a hash would put several pairs of a large group in one task
-    sorted_rows = rows.repartitionByRange("component", "left", "right").sortWithinPartitions("component", "left", "right").select("component", "left", "right", "side", "node", "copies", "signature", word_hashes(F.col("text")).alias("words"))
+    sorted_rows = rows.repartitionByRange("group", "left", "right").sortWithinPartitions("group", "left", "right").select("group", "left", "right", "side", "node", "copies", "signature", word_hashes(F.col("text")).alias("words"))
     found = materialize(sorted_rows.mapInArrow(_compare(threshold, tolerance), "node long, links long, link_docs long, root long"), "links")
 
     # counts and groups of the classes that have links
@@ -279,5 +373,5 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
+    """The rows of docs that are kept, with their own columns: of each group, and of equal rows, one. See jaccard_join for nulls, ties and empty texts."""
     return keep_rows(docs, jaccard_join(docs, threshold, tolerance), _row_key())

@@ -1,30 +1,33 @@
 """Best-fit packing of token sequences.
 
-Documents become pieces of at most the capacity, and pieces are packed by bulk-synchronous best fit. Sizes
-are whole numbers up to the capacity, so the sorted sequence of pieces is a few runs of equal sizes, and so is that
-of the open sequences' gaps. One superstep takes the run of the largest pieces left, sweeps the gaps upwards from
-the first one large enough (its successor), gives pieces to gaps by rank so that no two want the same,
-opens new sequences for the rest, and moves the filled gaps to their new sizes. The runs are at most as
-many as the capacity whatever the input; the counting and ranking of pieces, and their placement by
-rank, are done in the cluster. The outcome is that of best-fit decreasing over all pieces.
+Documents become pieces of at most the capacity, and pieces are packed by bulk-synchronous best fit. Pieces of more than
+half the capacity open a sequence each. In a superstep all other pieces and the gaps of the open sequences are range-sorted into one
+order of sizes. Every task sweeps its range upwards: a gap is given to the largest piece below it that is still free, so a piece gets the
+smallest gap above it (its successor) that no closer piece wants. What a range leaves, gaps without a piece below and pieces without
+a gap above, is matched across ranges by rank. The gaps are then updated, and so on until every piece has its place. Pieces larger than
+all gaps open new sequences, as many as their volume fills. A gap that holds several of the largest pieces takes part
+as so many slots. The outcome doesn't depend on how the rows are spread.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, shared_dir
 from .tokens import encoder
 
 CAPACITY, END_ID = 2048, 0
+#: Pieces and slots that a task sweeps: so many, or more where there would be more ranges than shuffle partitions, up to a bound.
+RANGE_ROWS, MOST_ROWS = 50_000, 1_000_000
 PIECES = "doc_id long, row_uid long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -60,65 +63,107 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, k
     return rows.mapInArrow(run, PIECES + ", ids binary" * keep_ids)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Where the pieces of each size go: (length, first rank, last rank, first sequence, pieces a sequence, offset).
-
-    counts: pieces by size. Within a row, the piece of rank r goes to the sequence (r - first) // pieces
-    after the first, at the offset plus its place there times its length.
+#: Rows of a superstep: pieces without a sequence (kind 0), slots that took none (1), and pieces with their sequence (2); gap is the sequence's before it.
+WAITING, FREE, PLACED = 0, 1, 2
+STATE = "kind int, row_uid long, piece int, length int, seq long, gap int"
+SWEPT = STATE + ", range int, rank long"
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range in the order of sizes (kind, row_uid, piece, length, seq, gap): pairs of a slot and the largest free piece below it, and what is left, ranked."""
+    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    if table is None or not table.num_rows:
+        return
+    uid, piece, length, seq, gap = (table.column(c).to_numpy() for c in ("row_uid", "piece", "length", "seq", "gap"))
+    stack, pairs, free = [], [], []
+    for i, kind in enumerate(table.column("kind").to_pylist()):
+        if kind == WAITING:
+            stack.append(i)
+        elif stack:
+            pairs.append((stack.pop(), i))
+        else:
+            free.append(i)
+    mine, theirs = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    stack, free = np.array(stack, np.int64), np.array(free, np.int64)
+    rows, slots = np.concatenate([mine, stack, free]), np.concatenate([theirs, stack, free])
+    kinds = np.repeat(np.array([PLACED, WAITING, FREE], np.int32), [len(mine), len(stack), len(free)])
+    rank = np.concatenate([np.zeros(len(mine), np.int64), np.arange(len(stack)), np.arange(len(free))])
+    number = np.full(len(rows), TaskContext.get().partitionId(), np.int32)
+    out = [kinds, uid[rows], piece[rows], length[rows], seq[slots], gap[slots], number, rank]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[x.split()[0] for x in SWEPT.split(", ")])
+
+
+def _across(swept: DataFrame) -> DataFrame:
+    """STATE rows of swept, with what the ranges left matched by rank.
+
+    A range leaves free slots, all smaller than its waiting pieces. With pieces as opening and slots as closing brackets over all ranges,
+    partners have the same depth and follow one another at it. The depth before each range comes from a row a range. A depth
+    occurs twice in a range at most, so no task gathers more than that.
     """
-    out, opened = [], 0
-    gaps: list[int] = []  # sizes of gaps, ascending
-    runs: dict[int, list[tuple[int, int]]] = {}  # runs of sequences with that gap: first, number
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                insort(gaps, gap)
-            runs.setdefault(gap, []).append((first, n))
-
-    for length in sorted((k for k, v in counts.items() if v), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)  # the successor
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[at]
-            else:
-                gap, first = capacity, opened
-                n = -(-left // (capacity // length))
-                opened += n
-            each = gap // length
-            used, taken = min(n, -(-left // each)), min(left, n * each)
-            out.append((length, rank, rank + taken - 1, first, each, capacity - gap))
-            full = taken // each
-            leave(gap - each * length, first, full)
-            if full < used:
-                leave(gap - (taken - full * each) * length, first + full, 1)
-            leave(gap, first + used, n - used)
-            rank, left = rank + taken, left - taken
-    return out
+    left = swept.where(F.col("kind") != PLACED)
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, True))
+    ranges = left.groupBy("range").agg(count(WAITING).alias("n_waiting"), count(FREE).alias("n_free"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("depth", F.coalesce(F.sum(F.col("n_waiting") - F.col("n_free")).over(before), F.lit(0)))
+    depth = F.when(F.col("kind") == FREE, F.col("depth") - F.col("rank") - 1).otherwise(F.col("depth") - F.col("n_free") + F.col("rank"))
+    at = Window.partitionBy("level").orderBy("range", F.col("kind").desc())
+    met = left.join(F.broadcast(ranges), "range").withColumn("level", depth)
+    met = met.select("*", F.lead(F.struct("kind", "seq", "gap")).over(at).alias("next"), F.lag("kind").over(at).alias("last"))
+    placed = (F.col("kind") == WAITING) & F.coalesce(F.col("next.kind") == FREE, F.lit(False))
+    met = met.where((F.col("kind") == WAITING) | ~F.coalesce(F.col("last") == WAITING, F.lit(False)))
+    met = met.select(F.when(placed, PLACED).otherwise(F.col("kind")).alias("kind"), "row_uid", "piece", "length", F.when(placed, F.col("next.seq")).otherwise(F.col("seq")).alias("seq"), F.when(placed, F.col("next.gap")).otherwise(F.col("gap")).alias("gap"))
+    return swept.where(F.col("kind") == PLACED).select(met.columns).unionByName(met)
+
+
+def _match(waiting: DataFrame, gaps: DataFrame, largest: int, n_waiting: int, n_gaps: int) -> DataFrame:
+    """STATE rows after waiting pieces (row_uid, piece, length; up to largest) have met gaps (seq, gap)."""
+    conf = gaps.sparkSession.conf
+    # no more slots than twice the pieces, but for one a gap
+    slots = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / largest), F.lit(-(-2 * n_waiting // n_gaps)))).cast("int")
+    none = [F.lit(0).cast(t).alias(c) for c, t in (("row_uid", "long"), ("piece", "int"), ("length", "int"))]
+    cut = gaps.withColumn("slots", slots).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("slots"))))
+    free = cut.select(F.floor(F.col("gap") / F.col("slots")).cast("int").alias("size"), F.lit(FREE).alias("kind"), *none, "seq", "gap", F.xxhash64("seq", "slot").alias("tie"))
+    pieces = waiting.select(F.col("length").alias("size"), F.lit(WAITING).alias("kind"), "row_uid", "piece", "length", F.lit(0).cast("long").alias("seq"), F.lit(0).alias("gap"), F.xxhash64("row_uid", "piece").alias("tie"))
+    order, n = ["size", "kind", "tie"], 3 * n_waiting + n_gaps
+    ranges = max(min(-(-n // RANGE_ROWS), int(conf.get("spark.sql.shuffle.partitions"))), -(-n // MOST_ROWS))
+    both = pieces.unionByName(free)
+    dealt = both.repartitionByRange(ranges, *order) if ranges > 1 else both.coalesce(1)
+    swept = dealt.sortWithinPartitions(*order).select(*[x.split()[0] for x in STATE.split(", ")]).mapInArrow(_sweep, SWEPT)
+    return _across(materialize(swept, "swept")) if ranges > 1 else swept.drop("range", "rank")
 
 
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (PIECES; a materialized table) with sequence_id and offset; none has a length over capacity.
 
-    Ties of equal lengths are ranked by doc_id, row_uid and piece within hashed blocks. A size of n pieces has about
-    sqrt(n) blocks of sqrt(n) pieces, so neither ranking a block nor adding up the blocks before it is
-    large, though all pieces may have one size. An empty table gives none.
+    Equal sizes are ranked by a hash of (row_uid, piece), so ties and repeated rows have a fixed order. An empty table gives none.
+    The driver gets counts and extreme sizes only. Every superstep is written out.
     """
-    spark = pieces.sparkSession
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    blocks = spark.createDataFrame([(k, math.isqrt(n) + 1) for k, n in counts.items()], "length int, blocks long")
-    rows = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("row_uid", "piece"), "blocks"))
-    before = rows.groupBy("length", "block").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).drop("n")
-    order = Window.partitionBy("length", "block").orderBy("doc_id", "row_uid", "piece")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).join(before, ["length", "block"]).withColumn("rank", F.col("rank") + F.col("before"))
-    steps = spark.createDataFrame(plan(counts, capacity), "length int, low long, high long, first long, each long, offset long").withColumnRenamed("length", "p_length")
-    placed = ranked.join(F.broadcast(steps), (F.col("length") == F.col("p_length")) & F.col("rank").between(F.col("low"), F.col("high")))
-    nth = F.col("rank") - F.col("low")
-    return placed.select(*pieces.columns, (F.col("first") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), (F.col("offset") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"))
+    spark, base = pieces.sparkSession, f"{shared_dir(pieces.sparkSession)}/packing-{uuid.uuid4().hex}"
+    big = F.col("length") > capacity // 2
+    own = F.when(big, -1 - F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    state = pieces.select(F.when(big, PLACED).otherwise(WAITING).alias("kind"), "row_uid", "piece", "length", own.alias("seq"), F.when(big, capacity).otherwise(0).alias("gap"))
+    step = opened = 0
+    while True:
+        state.write.parquet(f"{base}/step={step}")
+        state = spark.read.schema(STATE).parquet(f"{base}/step={step}")
+        waiting = state.where(F.col("kind") == WAITING)
+        left = waiting.agg(F.count("*").alias("n"), F.min("length").alias("least"), F.max("length").alias("most")).head()
+        if not left.n:
+            break
+        used = F.sum(F.when(F.col("kind") == PLACED, F.col("length")).otherwise(0))
+        gaps = state.where(F.col("kind") != WAITING).groupBy("seq").agg((F.min("gap") - used).cast("int").alias("gap")).where(F.col("gap") >= left.least)  # others hold no piece any more
+        known = gaps.agg(F.count("*").alias("n"), F.coalesce(F.max("gap"), F.lit(0)).alias("most")).head()
+        new = 0
+        if left.most > known.most:
+            volume = waiting.where(F.col("length") > known.most).agg(F.sum("length").alias("n")).head().n
+            new = -(-volume // capacity)
+            gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).alias("gap")))
+            opened += new
+        state, step = _match(waiting, gaps, left.most, left.n, known.n + new), step + 1
+    placed = spark.read.schema(STATE + ", step int").parquet(base).where(F.col("kind") == PLACED).select("row_uid", "piece", "length", "seq", "step")
+    before = Window.partitionBy("seq").orderBy("step", F.col("length").desc(), "row_uid", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.select(F.col("row_uid").alias("p_uid"), F.col("piece").alias("p_piece"), F.col("seq").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+    return pieces.join(placed, (F.col("row_uid") == F.col("p_uid")) & (F.col("piece") == F.col("p_piece"))).drop("p_uid", "p_piece")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -10,6 +11,7 @@ import zlib
 from array import array
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,30 +53,87 @@ def test_ids_are_the_librarys():
         assert array("I", encode(t)).tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_plan_is_best_fit_decreasing(seed):
-    rng = random.Random(seed)
-    counts = Counter(min(100, int(rng.expovariate(1 / 25)) + 1) for _ in range(2000))
-    placed: dict[int, list] = {}
-    for length, low, high, first, each, offset in P.plan(dict(counts), 100):
-        for r in range(low, high + 1):
-            placed.setdefault(first + (r - low) // each, []).append((offset + (r - low) % each * length, length))
-    assert Counter(n for v in placed.values() for _, n in v) == counts
-    for v in placed.values():
+def test_quick_ids_are_the_librarys():
+    import json
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    from sparkgauge.llm import tokens as T
+
+    spec, whole, rng = json.loads(Path(tokenizer()).read_text("utf-8")), Tokenizer.from_file(tokenizer()), random.Random(21)
+    quick = T.quick_encoder(spec, whole.model.tokenize)
+    assert quick is not None
+    vocab = [whole.decode([rng.randrange(50_000)]) for _ in range(3000)]
+    for _ in range(2000):  # tokens put together at random, seams and all
+        text = "".join(rng.choice(vocab) for _ in range(rng.randint(1, 12)))
+        if T.is_common(text):
+            assert quick.encode_ordinary(text) == whole.encode(text, add_special_tokens=False).ids, text
+    # files for which it isn't shown
+    assert T.quick_encoder(spec | {"normalizer": {"type": "NFC"}}, whole.model.tokenize) is None
+    assert T.quick_encoder(spec | {"pre_tokenizer": {"type": "Whitespace"}}, whole.model.tokenize) is None
+    merges = spec["model"]["merges"]
+    assert T.quick_encoder(spec | {"model": spec["model"] | {"merges": merges[1:2] + merges[:1] + merges[2:]}}, whole.model.tokenize) is None
+    assert not T.is_common("x" * 500) and not T.is_common("a" + " " * 900 + "b") and not T.is_common("日本") and T.is_common("Straße 12, año – ok\n")
+
+
+def best_fit_decreasing(sizes, capacity):
+    bins: list[int] = []
+    for n in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(bins, n)
+        if at < len(bins):
+            rest = bins.pop(at) - n
+        else:
+            rest = capacity - n
+        bisect.insort(bins, rest)
+    return len(bins)
+
+
+SIZES = {
+    "exponential": lambda rng: min(100, int(rng.expovariate(1 / 25)) + 1),
+    "tiny": lambda rng: rng.randint(1, 3),
+    "one size": lambda rng: 34,
+    "middling": lambda rng: rng.randint(15, 45),
+}
+
+
+@pytest.mark.parametrize("kind", SIZES)
+def test_packing_is_close_to_best_fit_decreasing(spark, kind, monkeypatch):
+    rng = random.Random(22)
+    sizes = [SIZES[kind](rng) for _ in range(2500)]
+    given = spark.createDataFrame([(i, i, 0, 0, n, 0) for i, n in enumerate(sizes)], P.PIECES).repartition(3)
+    monkeypatch.setattr(P, "RANGE_ROWS", 700)  # several ranges
+    got: dict[int, list] = {}
+    for r in P.best_fit(P.materialize(given, "pieces"), 100).collect():
+        got.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert Counter(n for v in got.values() for _, n in v) == Counter(sizes)
+    for v in got.values():
         at = 0
         for offset, n in sorted(v):
             assert offset == at
             at += n
         assert at <= 100
-    bins: list[int] = []
-    for n in sorted(counts.elements(), reverse=True):
-        fits = [b for b in bins if b >= n]
-        if fits:
-            bins.remove(min(fits))
-            bins.append(min(fits) - n)
+    assert len(got) <= 1.01 * best_fit_decreasing(sizes, 100) + 2
+
+
+def test_ranges_do_not_change_the_outcome(spark, monkeypatch):
+    rng = random.Random(23)
+    waiting = spark.createDataFrame([(i, 0, rng.randint(1, 50)) for i in range(900)], "row_uid long, piece int, length int")
+    gaps = spark.createDataFrame([(i, rng.randint(5, 50)) for i in range(700)], "seq long, gap int")
+    rows = lambda: sorted(map(tuple, P._match(waiting, gaps, 50, 900, 700).collect()))
+    whole = rows()
+    monkeypatch.setattr(P, "RANGE_ROWS", 500)
+    assert rows() == whole
+    # by hand: every gap, the smallest first, takes the largest piece that is left and fits
+    left, free, n = sorted(r.length for r in waiting.collect()), 0, Counter()
+    for gap in sorted(r.gap for r in gaps.collect()):
+        at = bisect.bisect_right(left, gap) - 1
+        if at < 0:
+            free += 1
         else:
-            bins.append(100 - n)
-    assert len(placed) == len(bins)
+            n[gap, left.pop(at)] += 1
+    assert Counter((r[5], r[3]) for r in whole if r[0] == P.PLACED) == n
+    assert sum(r[0] == P.FREE for r in whole) == free and sorted(r[3] for r in whole if r[0] == P.WAITING) == left
 
 
 def test_documents_are_packed_whole(spark):
@@ -87,7 +146,7 @@ def test_documents_are_packed_whole(spark):
     for v in by.values():
         v.sort(key=lambda r: r.offset)
         assert [r.offset for r in v] == [sum(x.length for x in v[:i]) for i in range(len(v))] and sum(r.length for r in v) <= 128
-    assert len(by) <= 1.05 * sum(r.length for r in got) / 128 + 1
+    assert len(by) <= 1.01 * best_fit_decreasing([r.length for r in got], 128) + 1
     assert len({(r.doc_id, r.row_uid) for r in got}) == len(rows)
     from sparkgauge.llm.tokens import encoder
 
@@ -434,6 +493,60 @@ def test_near_duplicates_match_all_pairs(spark):
     assert J.jaccard_join(plain(spark, [])).count() == 0 and J.one_of_each_group(plain(spark, [(1, None)])).count() == 1
 
 
+def test_shared_passages_do_not_chain_into_candidates(spark):
+    rng = random.Random(19)
+    shared = [words(rng, 44) for _ in range(20)]
+    rows = [(i, " ".join([shared[i % 20], words(rng, 40), shared[rng.randrange(20)]])) for i in range(500)]
+    rows += [(1000 + i, rows[i][1].rsplit(" ", 2)[0]) for i in range(10)]
+    seen = []
+    real, J.candidates = J.candidates, lambda *a: seen.append(real(*a)) or seen[-1]
+    try:
+        got = {r.doc_id: r for r in J.jaccard_join(plain(spark, rows)).collect()}
+    finally:
+        J.candidates = real
+    assert all(r.n_links == (i >= 1000 or i < 10) for i, r in got.items()) and all(got[1000 + i].group_id == i for i in range(10))
+    # most share a band with another, but few survive the pruning, and those don't form one component
+    held = Counter(r.component for r in seen[0].collect())
+    assert sum(held.values()) < 100 and max(held.values()) < 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_forests_of_surviving_pairs(seed):
+    rng = np.random.default_rng(seed)
+    n, limits = 150, J.prune_limits(0.8, 1e-6)
+    signs = rng.integers(0, 2**16, (n, J.HASHES), dtype=np.uint16)
+    for i in range(40, n):  # noisy copies, copies of copies too
+        kept = rng.random(J.HASHES) < rng.choice([0.6, 0.75, 0.95])
+        signs[i, kept] = signs[rng.integers(0, i), kept]
+    sizes = rng.choice([100, 105, 130], n)
+    for sides in (np.zeros(n, int), rng.integers(0, 2, n)):
+        pairs = [(i, j) for i in range(n) for j in range(i) if sides[i] != sides[j] or not sides.any()]
+        alive = lambda i, j: min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) - 1e-6 and all((signs[i, : J.STEP * (k + 1)] == signs[j, : J.STEP * (k + 1)]).sum() > m for k, m in enumerate(limits))
+
+        def dict_of(edges):
+            root = list(range(n))
+            for a, b in edges:
+                p, q = top(root, a), top(root, b)
+                root[p] = q
+            return root
+
+        def top(root, x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        root_a, root_b = dict_of([p for p in pairs if alive(*p)]), dict_of(J._forest(sides, sizes, signs, 0.8, limits))
+        assert {frozenset(x for x in range(n) if top(root_a, x) == r) for r in range(n)} == {frozenset(x for x in range(n) if top(root_b, x) == r) for r in range(n)}
+
+
+def test_a_very_long_text_has_a_near_copy(spark):
+    rng = random.Random(20)
+    long = words(rng, 60_000).split()
+    rows = [(1, " ".join(long)), (2, " ".join(long[:100] + ["x"] + long[101:])), (3, words(rng, 30))]
+    got = {r.doc_id: (r.group_id, r.n_links) for r in J.jaccard_join(plain(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
 def test_prune_limits_keep_pairs_at_the_threshold():
     limits = J.prune_limits(0.8, 1e-6)
     assert limits == sorted(limits) and limits[0] >= 0
