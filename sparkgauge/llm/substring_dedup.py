@@ -20,6 +20,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from .common import discard, lookup, materialize
 MIN_WORDS = 20
 #: Repeated runs of this many words are passages; an anchor is one of ANCHOR_WORDS of them. Apart by PASSAGE_WORDS - ANCHOR_WORDS + 1 at most.
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 36
-LINE, SENTENCE_END = re.compile(r"[^\n]+"), re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 #: Thai to Tibetan, Myanmar, Khmer, Japanese and Chinese: scripts without spaces between words.
 UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNSPACED_LETTER, WORD = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
@@ -42,19 +43,38 @@ def split_words(text: str) -> list[str]:
     return [m.lower() for m in WORD.findall(text)]
 
 
+def _sentences(line: str, spaced: bool, min_words: int) -> list[tuple[int, int]]:
+    """Spans of the sentences of a line, if any of several can have min_words: words that end a sentence are told by their last letter."""
+    if spaced:
+        words = line.split()
+        ends = [i for i, w in enumerate(words) if w[-1] in ".!?"]
+        if not ends or max(b - a for a, b in zip([-1, *ends], [*ends, len(words) - 1], strict=True)) < min_words:
+            return []
+    edges = [0]
+    for cut in SENTENCE_END.finditer(line):
+        edges += cut.span()
+    edges.append(len(line))
+    spans = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a]
+    return spans if len(spans) > 1 else []
+
+
+def _digest(words: list[str]) -> bytes:
+    return blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
+
+
 def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[str, int, int, int, bytes]]:
     """(level, start, end, words, digest) of every line and sentence of min_words or more; a line of one sentence is a line only."""
-    for m in LINE.finditer(text or ""):
-        line, at = m[0], m.start()
-        edges = [0]
-        for cut in SENTENCE_END.finditer(line):
-            edges += cut.span()
-        edges.append(len(line))
-        spans = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a]
-        for level, (a, b) in [("line", (0, len(line)))] + [("sentence", s) for s in spans] * (len(spans) > 1):
-            words = split_words(line[a:b])
-            if len(words) >= min_words:
-                yield level, at + a, at + b, len(words), blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
+    text = text or ""
+    spaced, at = text.isascii() or not UNSPACED_LETTER.search(text), 0
+    for line in text.split("\n"):
+        cut = (lambda t: t.lower().split()) if spaced else split_words
+        # a line of fewer words has no sentence of more
+        if len(line) >= (2 * min_words - 1 if spaced else min_words) and len(words := cut(line)) >= min_words:
+            yield "line", at, at + len(line), len(words), _digest(words)
+            for a, b in _sentences(line, spaced, min_words):
+                if len(words := cut(line[a:b])) >= min_words:
+                    yield "sentence", at + a, at + b, len(words), _digest(words)
+        at += len(line) + 1
 
 
 UNITS = "doc_id long, row_uid long, level string, start int, end int, words int, high long, low long"
@@ -102,12 +122,14 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 class _Words(dict):
-    """A 64-bit hash of a word; forgotten from time to time, as a corpus has no end of words."""
+    """A 64-bit hash of a word; forgotten from time to time, as a corpus has no end of words. Long ones are not kept."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        out = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -214,19 +236,21 @@ def _contexts(reach: int):
     """The words before (side 0) or from (side 1) each given place of a text, nearest first, ``reach`` at most, and where they start or end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, names = _Words(), [x.split()[0] for x in CONTEXTS.split(", ")]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        cache, names, steps = _Words(), [x.split()[0] for x in CONTEXTS.split(", ")], np.arange(reach)[None, :]
         for batch in batches:
-            rows = []
-            for uid, text, asked in zip(*(batch.column(c) for c in ("row_uid", "text", "asked")), strict=True):
-                t = text.as_py()
-                hashes, places = _hashes(split_words(t), cache).view(np.int64), [m.span() for m in WORD.finditer(t)]
-                for x in asked.as_py():
-                    side, at = x["side"], x["at"]
-                    span = range(at - 1, max(at - 1 - reach, -1), -1) if side == 0 else range(at, min(at + reach, len(places)))
-                    rows.append((uid.as_py(), side, at, hashes[list(span)], [places[i][side] for i in span]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            asked, parts = batch.column("asked"), []
+            edges, sides, places_at = asked.offsets.to_numpy(), asked.values.field("side").to_numpy(), asked.values.field("at").to_numpy()
+            for i, (uid, text) in enumerate(zip(batch.column("row_uid").to_pylist(), batch.column("text"), strict=True)):
+                t, side, at = text.as_py(), sides[edges[i] : edges[i + 1]], places_at[edges[i] : edges[i + 1]]
+                hashes, places = _hashes(split_words(t), cache).view(np.int64), np.array([m.span() for m in WORD.finditer(t)], np.int32)
+                n = np.minimum(reach, np.where(side == 0, at, len(places) - at))
+                inside = steps < n[:, None]
+                word = np.where(side[:, None] == 0, at[:, None] - 1 - steps, at[:, None] + steps)[inside]
+                parts.append((np.full(len(side), uid), side, at, n, hashes[word], places[word, np.repeat(side, n)]))
+            if parts:
+                uid, side, at, n, words, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(side), pa.array(at), pa.ListArray.from_arrays(offsets, pa.array(words)), pa.ListArray.from_arrays(offsets, pa.array(ends))], names=names)
 
     return run
 
