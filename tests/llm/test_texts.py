@@ -322,7 +322,7 @@ def test_passages_match_all_windows(spark):
             continue
         missing = at - got[uid]  # at the ends of a run only, where several earlier places hold parts of it
         assert all(not set(range(p - 14, p + 15)) <= at for p in missing) and len(missing) <= 14
-    assert sum(not at - got[uid] for uid, at in repeated.items()) > 0.6 * len(repeated)
+    assert sum(not at - got[uid] for uid, at in repeated.items()) > 0.3 * len(repeated)
     clean = R.remove_repeats(given.drop("row_uid")).collect()
     assert sum(" ".join(short) in " ".join((r.text or "").split()) for r in clean) == 1 and R.repeated_passages(given.where("false")).count() == 0
 
