@@ -321,7 +321,8 @@ def set_union_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-@query("""SELECT (SELECT count(*) FROM part WHERE p_size < 30 AND p_size <= 20) AS only_left, (SELECT count(*) FROM part WHERE p_size > 20 AND p_size >= 30) AS only_right, false AS equal, false AS subset""")
+@query("""WITH a AS (SELECT p_partkey AS id FROM part WHERE p_size < 30), b AS (SELECT p_partkey AS id FROM part WHERE p_size > 20), l AS (SELECT count(*) AS n FROM (FROM a EXCEPT ALL FROM b)), r AS (SELECT count(*) AS n FROM (FROM b EXCEPT ALL FROM a))
+    SELECT l.n AS only_left, r.n AS only_right, l.n = 0 AND r.n = 0 AS equal, l.n = 0 AS subset FROM l, r""")
 def set_equality(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _halves(spark, sf)
     left, right = a.exceptAll(b).agg(F.count("*").alias("only_left")), b.exceptAll(a).agg(F.count("*").alias("only_right"))

@@ -10,7 +10,7 @@ from ..functions import estimators
 from ..functions.estimators import binomial_two_sided, hash_index
 from .registry import query
 from .relational import SQL_LOADED, SQL_PRICES, prices
-from .views import SQL_ATTEMPTS, SQL_TASKS, SQL_TRIALS, attempts, table, tasks, trials
+from .views import PROVIDERS, SQL_ATTEMPTS, SQL_TASKS, SQL_TRIALS, attempts, table, tasks, trials
 
 A = f"WITH {SQL_ATTEMPTS}"
 #: Per provider and task: n scored attempts, c successes.
@@ -30,10 +30,15 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
-@query(A + " SELECT provider, task_id, string_agg(success::INT::VARCHAR, '' ORDER BY run, line, part, shard, price) AS outcomes FROM attempts WHERE NOT has_error AND line = 1 GROUP BY ALL")
+@query(A + " SELECT provider, task_id, success AS outcome, count(*) AS n, round(avg(tokens_out), 6) AS tokens FROM attempts WHERE NOT has_error GROUP BY ALL")
 def agg_by_task(spark: SparkSession, sf: str) -> DataFrame:
-    item = F.struct("run", "line", "part", "shard", "price", F.col("success").cast("int").cast("string").alias("s"))
-    return scored(spark, sf).where(F.col("line") == 1).groupBy("provider", "task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), "").alias("outcomes"))
+    """The values of a key of all scored rows by provider and task, each with its number of rows: no list grows with the attempts."""
+    return by_key(scored(spark, sf), F.col("success"), F.avg("tokens_out").alias("tokens")).withColumn("tokens", r6("tokens"))
+
+
+def by_key(rows: DataFrame, key: Column, *more: Column) -> DataFrame:
+    """provider, task_id, outcome (any key that a caller gives as an expression on a row), n, and further aggregates."""
+    return rows.groupBy("provider", "task_id", key.alias("outcome")).agg(F.count("*").alias("n"), *more)
 
 
 @query(f"WITH {SQL_CELLS} SELECT provider, task_id, round(rate, 6) AS rate FROM cells")
@@ -112,10 +117,13 @@ def agg_mode_by_provider(spark: SparkSession, sf: str) -> DataFrame:
     return attempts(spark, sf).groupBy("provider", mode().alias("mode")).agg(F.count("*").alias("n"))
 
 
-@query(A + f", m AS (SELECT {MODE} AS mode, provider FROM attempts) SELECT mode, count(*) FILTER (provider = 0) AS p0, count(*) FILTER (provider = 1) AS p1, count(*) FILTER (provider = 2) AS p2, count(*) AS n FROM m GROUP BY mode ORDER BY n DESC, mode")
+SQL_LEGS = ", ".join(f"count(*) FILTER (provider = {p}) AS p{p}" for p in range(PROVIDERS))
+
+
+@query(A + f", m AS (SELECT {MODE} AS mode, provider FROM attempts) SELECT mode, {SQL_LEGS}, count(*) AS n FROM m GROUP BY mode ORDER BY n DESC, mode")
 def agg_mode_pivot(spark: SparkSession, sf: str) -> DataFrame:
     m = attempts(spark, sf).select(mode().alias("mode"), "provider")
-    wide = m.groupBy("mode").agg(*[F.count_if(F.col("provider") == p).alias(f"p{p}") for p in range(3)], F.count("*").alias("n"))
+    wide = m.groupBy("mode").agg(*[F.count_if(F.col("provider") == p).alias(f"p{p}") for p in range(PROVIDERS)], F.count("*").alias("n"))
     return wide.orderBy(F.desc("n"), "mode")
 
 
@@ -280,11 +288,11 @@ def zscore(spark: SparkSession, sf: str) -> DataFrame:
     return t.crossJoin(F.broadcast(moments)).select("task_id", *[r6((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(z) for c, z in names.items()])
 
 
-SQL_GRID = f"{SQL_ATTEMPTS}, {SQL_TASKS}, grid AS (SELECT task_id % 20 AS topology, line AS style, avg(success::INT) AS rate FROM attempts WHERE NOT has_error AND line <= 5 GROUP BY ALL)"
+SQL_GRID = f"{SQL_ATTEMPTS}, {SQL_TASKS}, grid AS (SELECT task_id % 20 AS topology, line AS style, avg(success::INT) AS rate FROM attempts WHERE NOT has_error GROUP BY ALL)"
 
 
 def style_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).where(F.col("line") <= 5).groupBy((F.col("task_id") % 20).alias("topology"), F.col("line").alias("style")).agg(F.avg(F.col("success").cast("int")).alias("rate"))
+    return scored(spark, sf).groupBy((F.col("task_id") % 20).alias("topology"), F.col("line").alias("style")).agg(F.avg(F.col("success").cast("int")).alias("rate"))
 
 
 @query(f"""WITH {SQL_GRID}, m AS (SELECT *, avg(rate) OVER () AS grand, avg(rate) OVER (PARTITION BY topology) AS row_, avg(rate) OVER (PARTITION BY style) AS col_ FROM grid),

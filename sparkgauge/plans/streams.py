@@ -28,7 +28,7 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, event_id, value, event_type = 'purchase' AS evaluated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, ts DESC, event_id) AS rn FROM events) WHERE rn = 1")
 def stream_keep_best(spark: SparkSession, sf: str) -> DataFrame:
     rows = events(spark, sf).select("user_id", "event_id", "value", (F.col("event_type") == "purchase").alias("evaluated"), F.unix_micros("ts").alias("ts"))
-    best = streams.keep_best(rows, ["user_id"], "user_id long, event_id long, value double, evaluated boolean, ts long", lambda new, old: (new[3], new[4], -new[1]) > (old[3], old[4], -old[1]))
+    best = streams.keep_best(rows, ["user_id"], F.col("evaluated"), F.col("ts"), -F.col("event_id"))
     return streams.drain_last(best, "keep-best", ["user_id"], "ts").select("user_id", "event_id", "value", "evaluated")
 
 

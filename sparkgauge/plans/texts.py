@@ -13,15 +13,12 @@ from .views import polylines, table
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    """ASCII texts, on which all regex dialects agree about word boundaries."""
-    return table(spark, sf, "documents").where((F.col("lang") == "en") & ~F.regexp_like("text", F.lit(r"[^\x00-\x7F]")))
-
-
-def every_doc(spark: SparkSession, sf: str) -> DataFrame:
     """All documents, whatever their language and letters; a null text counts as empty."""
     return table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+#: DuckDB's word boundaries know ASCII only, so its texts have an underscore, a word character that no pattern names, for every other letter.
+SQL_PLAIN = r"regexp_replace(lower(trace), '[ªµºÀ-ÖØ-öø-\x{2FF}\x{370}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}]', '_', 'g')"
 
 
 def _sql_match(column: str, patterns) -> str:
@@ -35,42 +32,22 @@ def trace():
     return F.concat(start, "text")
 
 
-SQL_TRACES = r"traces AS (SELECT doc_id, ['this path is clear. ', 'assume a gap here. ', 'good enough, i''ll commit to it. ', 'the walls are the paths. ', 'node A and node B, adjacency. ', 'we backtrack. ', 'x = 12. ', ''][doc_id % 8 + 1] || text AS trace FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]'))"
-SQL_HITS = "hits AS (SELECT doc_id, trace, array_to_string(list_filter([{}], lambda m: m IS NOT NULL), ',') AS modes FROM traces)".format(", ".join(f"CASE WHEN {_sql_match('lower(trace)', ps)} THEN '{m}' END" for m, ps in T.LEXICAL.items()))
+SQL_TRACES = r"traces AS (SELECT doc_id, ['this path is clear. ', 'assume a gap here. ', 'good enough, i''ll commit to it. ', 'the walls are the paths. ', 'node A and node B, adjacency. ', 'we backtrack. ', 'x = 12. ', ''][doc_id % 8 + 1] || coalesce(text, '') AS trace FROM documents), plain AS (SELECT *, " + SQL_PLAIN + " AS low FROM traces)"
+SQL_HITS = "hits AS (SELECT doc_id, trace, low, array_to_string(list_filter([{}], lambda m: m IS NOT NULL), ',') AS modes FROM plain)".format(", ".join(f"CASE WHEN {_sql_match('low', ps)} THEN '{m}' END" for m, ps in T.LEXICAL.items()))
 
 
 @query(f"WITH {SQL_TRACES}, {SQL_HITS} SELECT doc_id, modes FROM hits")
 def lexical_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return _lexical(docs(spark, sf))
-
-
-def _lexical(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.array_join(T.lexical_hits(trace()), ",").alias("modes"))
+    return docs(spark, sf).select("doc_id", F.array_join(T.lexical_hits(trace()), ",").alias("modes"))
 
 
-@query()
-def lexical_hits_all(spark: SparkSession, sf: str) -> DataFrame:
-    """lexical_hits of every document; DuckDB's word boundaries are ASCII, so there is no SQL."""
-    return _lexical(every_doc(spark, sf))
-
-
-@query(f"WITH {SQL_TRACES} SELECT doc_id, {_sql_match('lower(trace)', T.PERCEPTUAL)} AS perceptual FROM traces")
+@query(f"WITH {SQL_TRACES} SELECT doc_id, {_sql_match('low', T.PERCEPTUAL)} AS perceptual FROM plain")
 def perceptual_flag(spark: SparkSession, sf: str) -> DataFrame:
-    return _perceptual(docs(spark, sf))
-
-
-def _perceptual(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", T.perceptual(trace()).alias("perceptual"))
-
-
-@query()
-def perceptual_flag_all(spark: SparkSession, sf: str) -> DataFrame:
-    """perceptual_flag of every document."""
-    return _perceptual(every_doc(spark, sf))
+    return docs(spark, sf).select("doc_id", T.perceptual(trace()).alias("perceptual"))
 
 
 _RULES = {
-    "procedural_template": f"NOT {_sql_match('lower(trace)', T.PERCEPTUAL)} AND modes = '' AND length(trace) < 1200",
+    "procedural_template": f"NOT {_sql_match('low', T.PERCEPTUAL)} AND modes = '' AND length(trace) < 1200",
     "figure_ground_inversion": "outside > 0.45 AND coalesce(first_out, 1) < 0.25 AND (contains(modes, 'figure_ground_inversion') OR (outside > 0.7 AND started))",
     "endpoint_misidentification": "NOT started",
     "analytic_parameterisation": "contains(modes, 'analytic_parameterisation') AND cv < 0.55",
@@ -89,26 +66,16 @@ _RULES = {
 @query(f"""WITH {SQL_TURNS}, {SQL_TRACES}, {SQL_HITS}, segs AS (SELECT vec_id, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS len FROM points WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
     l AS (SELECT vec_id, avg(len) AS mean_seg, stddev_pop(len) / avg(len) AS cv FROM segs WHERE len IS NOT NULL GROUP BY 1), t AS (SELECT vec_id, count(*) FILTER (a > 2) AS reversals FROM turns GROUP BY 1),
     o AS (SELECT vec_id, avg((x < 60 OR x > 140)::INT) AS outside, min(CASE WHEN x < 60 OR x > 140 THEN i END) / 32.0::DOUBLE AS first_out, max(CASE WHEN i = 0 THEN sqrt(pow(x - 100, 2) + pow(y - 100, 2)) END) AS start_error FROM points GROUP BY 1),
-    j AS (SELECT doc_id, trace, modes, l.*, reversals, outside, first_out, start_error, start_error <= 60 AS started, doc_id % 3 > 0 AS free, (doc_id % 10) / 10.0::DOUBLE AS progress FROM hits JOIN l ON vec_id = doc_id JOIN t USING (vec_id) JOIN o USING (vec_id)),
+    j AS (SELECT doc_id, trace, low, modes, l.*, reversals, outside, first_out, start_error, start_error <= 60 AS started, doc_id % 3 > 0 AS free, (doc_id % 10) / 10.0::DOUBLE AS progress FROM hits JOIN l ON vec_id = doc_id JOIN t USING (vec_id) JOIN o USING (vec_id)),
     c AS (SELECT doc_id, list_filter([{", ".join(f"CASE WHEN {_RULES[m]} THEN '{m}' END" for m in T.PRECEDENCE)}], lambda m: m IS NOT NULL) AS modes FROM j)
     SELECT doc_id, coalesce(modes[1], 'unclassified') AS primary_mode, array_to_string(modes[2:], ',') AS secondary FROM c""")
 def classify_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Verdicts from a trace and a path each: candidates in order of precedence, the first is primary."""
-    return _verdicts(spark, sf, docs(spark, sf))
-
-
-@query()
-def classify_modes_all(spark: SparkSession, sf: str) -> DataFrame:
-    """classify_modes of every document that has a path."""
-    return _verdicts(spark, sf, every_doc(spark, sf))
-
-
-def _verdicts(spark: SparkSession, sf: str, given: DataFrame) -> DataFrame:
     pts = F.col("pts")
     paths = polylines(spark, sf).select(F.col("vec_id").alias("doc_id"), G.segments(pts).alias("s"), G.turn_angles(pts).alias("a"), outside_flags(pts).alias("o"), F.hypot(pts[0]["x"] - 100, pts[0]["y"] - 100).alias("start_error"))
     at = F.array_position("o", True) - 1
     g = {"points": F.lit(32), "outside_fraction": F.size(F.filter("o", lambda x: x)) / 32, "first_outside": F.when(at >= 0, at / 32), "spacing_cv": G.variation(F.col("s")), "mean_segment": G.total(F.col("s")) / 31, "reversals": F.size(F.filter("a", lambda a: a > 2)), "revisit": F.lit(0.0), "start_error": F.col("start_error"), "start_radius": F.lit(60.0)}
-    rows = given.select("doc_id", trace().alias("trace")).join(paths, "doc_id").withColumn("hits", T.lexical_hits(F.col("trace")))
+    rows = docs(spark, sf).select("doc_id", trace().alias("trace")).join(paths, "doc_id").withColumn("hits", T.lexical_hits(F.col("trace")))
     modes = T.classify(F.col("trace"), F.col("hits"), g, F.col("start_error") <= 60, F.col("doc_id") % 3 > 0, (F.col("doc_id") % 10) / F.lit(10.0))
     rows = rows.select("doc_id", modes.alias("m"))
     return rows.select("doc_id", F.coalesce(F.get("m", F.lit(0)), F.lit("unclassified")).alias("primary_mode"), F.array_join(F.slice("m", 2, 13), ",").alias("secondary"))
@@ -122,7 +89,7 @@ def src_malformed_skip(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where((F.trim("props") != "") & F.col("j._corrupt_record").isNull() & F.col("j").isNotNull()).select("event_id", "props")
 
 
-@query("SELECT count(*) AS lines, count(*) FILTER (event_id % 11 = 0) AS malformed, count(*) FILTER (event_id % 11 <> 0) AS rows FROM events")
+@query("WITH l AS (SELECT CASE WHEN event_id % 11 = 0 THEN substr(props, 1, 4) ELSE props END AS line FROM events) SELECT count(*) AS lines, count(*) FILTER (NOT json_valid(line)) AS malformed, count(*) FILTER (json_valid(line)) AS rows FROM l WHERE trim(line) <> ''")
 def src_malformed_count(spark: SparkSession, sf: str) -> DataFrame:
     line = F.when(F.col("event_id") % 11 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
     bad = F.from_json(line, "k long, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"].isNotNull()
@@ -154,7 +121,18 @@ def _submission(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int")).alias("body"))
 
 
-@query("""SELECT event_id, [NULL, 'arguments must be an object', 'missing required ''points'' array', '''points'' must be an array', 'too few points (1 < 2)', 'point 1 is not an object', 'point 1 is missing ''y''', 'point 0 ''x'' is not a number', 'point 1 ''y'' is outside [0, 1]', 'arguments must be an object'][event_id % 10 + 1] AS error FROM events""")
+SQL_BODIES = """k AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events), b AS (SELECT event_id, ['{"points": [{"x": 0.' || k || ', "y": 0.5}, {"x": 1, "y": 0}]}', '[1, 2]', '{"p": 1}', '{"points": 3}', '{"points": [{"x": 0, "y": 0}]}',
+    '{"points": [{"x": 0, "y": 0}, 7]}', '{"points": [{"x": 0, "y": 0}, {"x": 0}]}', '{"points": [{"x": true, "y": 0}, {"x": 0, "y": 0}]}', '{"points": [{"x": 0, "y": 0, "z": 1}, {"x": 0, "y": -0.' || k || '1}]}', 'not json'][event_id % 10 + 1] AS body FROM k)"""
+_COORDINATE = "CASE WHEN NOT json_exists(p, '$.{0}') THEN 'point ' || i || ' is missing ''{0}''' WHEN json_type(p, '$.{0}') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'point ' || i || ' ''{0}'' is not a number' WHEN json_extract(p, '$.{0}')::DOUBLE NOT BETWEEN 0 AND 1 THEN 'point ' || i || ' ''{0}'' is outside [0, 1]' END"
+
+
+@query(f"""WITH {SQL_BODIES}, j AS (SELECT event_id, CASE WHEN json_valid(body) THEN body::JSON END AS body FROM b),
+    e AS (SELECT event_id, body, CASE WHEN coalesce(json_type(body), '') <> 'OBJECT' THEN 'arguments must be an object' WHEN NOT json_exists(body, '$.points') THEN 'missing required ''points'' array' WHEN json_type(body, '$.points') <> 'ARRAY' THEN '''points'' must be an array'
+        WHEN json_array_length(body, '$.points') < 2 THEN 'too few points (' || json_array_length(body, '$.points') || ' < 2)' WHEN json_array_length(body, '$.points') > 512 THEN 'too many points (' || json_array_length(body, '$.points') || ' > 512)' END AS error FROM j),
+    q AS (SELECT event_id, unnest(json_extract(body, '$.points[*]')) AS p, unnest(range(json_array_length(body, '$.points')::BIGINT)) AS i FROM e WHERE error IS NULL),
+    r AS (SELECT event_id, i, CASE WHEN json_type(p) <> 'OBJECT' THEN 'point ' || i || ' is not an object' ELSE coalesce({_COORDINATE.format('x')}, {_COORDINATE.format('y')}) END AS error FROM q),
+    f AS (SELECT event_id, min_by(error, i) FILTER (error IS NOT NULL) AS error FROM r GROUP BY 1)
+    SELECT e.event_id, coalesce(e.error, f.error) AS error FROM e LEFT JOIN f USING (event_id)""")
 def json_validate(spark: SparkSession, sf: str) -> DataFrame:
     return _submission(spark, sf).select("event_id", T.submission_error(F.try_parse_json("body")).alias("error"))
 
@@ -210,11 +188,11 @@ def str_grep(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").where(F.regexp_like("url", F.lit("(spam|casino|pills)"))).select("page_id", F.regexp_extract("url", "(spam|casino|pills)", 1).alias("hit"))
 
 
-@query("SELECT a.doc_id, starts_with(a.text, b.text) AS prefix FROM documents a JOIN (SELECT doc_id, substr(text, 1, 40) AS text FROM documents) b USING (doc_id)")
+@query("SELECT a.doc_id, starts_with(a.text, b.text) AS prefix FROM documents a JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(substr(text, 1, 40)) WHEN doc_id % 3 = 1 THEN substr(text, 2, 40) ELSE substr(text, 1, 40) END AS text FROM documents) b USING (doc_id)")
 def str_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether archived bytes begin the live ones."""
-    d = table(spark, sf, "documents")
-    archived = d.select("doc_id", F.substring("text", 1, 40).alias("archived"))
+    """Whether archived bytes begin the live ones: of every third document they have been changed, of another third the first letter is lost."""
+    d, m = table(spark, sf, "documents"), F.col("doc_id") % 3
+    archived = d.select("doc_id", F.when(m == 0, F.upper(F.substring("text", 1, 40))).when(m == 1, F.substring("text", 2, 40)).otherwise(F.substring("text", 1, 40)).alias("archived"))
     return d.join(archived, "doc_id").select("doc_id", F.startswith("text", "archived").alias("prefix"))
 
 

@@ -6,12 +6,10 @@ Sinks and checkpoints lie in the folder the session names, so a restarted driver
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.scratch import fresh_path
 
@@ -41,7 +39,7 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
 
 
 def drain_last(stream: DataFrame, name: str, keys: list[str], version: str) -> DataFrame:
-    """Run an update-mode stream; the sink gets every version of a key, and the last one is returned."""
+    """Run an update-mode stream; the sink gets every version of a key, and that of the last batch is returned."""
     spark = stream.sparkSession
     path = fresh_path(spark, name)
 
@@ -71,28 +69,13 @@ def two_sinks(stream: DataFrame, first: Callable[[DataFrame], DataFrame], second
     return spark.read.parquet(f"{path}/rows/batch=*"), spark.read.parquet(f"{path}/summaries/batch=*")
 
 
-def keep_best(stream: DataFrame, keys: list[str], schema: str, better: Callable[[tuple, tuple], bool]) -> DataFrame:
-    """The best row of each key so far, emitted whenever it changes. Lateness has no bound, so neither has the state: one row per key.
+def keep_best(stream: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The best row of each key so far by the order, the largest first, emitted whenever its key has new rows (update mode).
 
-    schema is that of the stream's own columns; better(new, old) decides on tuples in that order.
+    An aggregation that combines before the shuffle, in the JVM. Lateness has no bound, so neither has the state: one row per key.
     """
-    columns = stream.columns
-    at = [columns.index(k) for k in keys]
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        changed = False
-        for frame in frames:
-            for row in frame[columns].itertuples(index=False, name=None):
-                row = tuple(v.item() if hasattr(v, "item") else v for v in row)
-                if best is None or better(row, best):
-                    best, changed = row, True
-        if changed:
-            state.update(best)
-            yield pd.DataFrame([best], columns=columns)
-
-    assert all(i >= 0 for i in at)
-    return stream.groupBy(*keys).applyInPandasWithState(update, schema, schema, "update", GroupStateTimeout.NoTimeout)
+    rest = [c for c in stream.columns if c not in keys]
+    return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("best")).select(*keys, "best.*")
 
 
 def tumbling(stream: DataFrame, ts: str, width: str, late: str) -> DataFrame:

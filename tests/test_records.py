@@ -161,6 +161,6 @@ def test_all_documents_are_searched(spark, tmp_path):
     traces = {i: (phrases[i % 8] + (t or "")).lower() for i, (_, t) in enumerate(texts)}
     met = lambda patterns, t: any(re.search(p, t) for p in patterns)
     sf = str(tmp_path)
-    assert {r.doc_id: r.modes for r in QUERIES["lexical_hits_all"](spark, sf).collect()} == {i: ",".join(m for m, ps in T.LEXICAL.items() if met(ps, t)) for i, t in traces.items()}
-    assert {r.doc_id: r.perceptual for r in QUERIES["perceptual_flag_all"](spark, sf).collect()} == {i: met(T.PERCEPTUAL, t) for i, t in traces.items()}
-    assert {r.doc_id for r in QUERIES["classify_modes_all"](spark, sf).collect()} == set(traces)
+    assert {r.doc_id: r.modes for r in QUERIES["lexical_hits"](spark, sf).collect()} == {i: ",".join(m for m, ps in T.LEXICAL.items() if met(ps, t)) for i, t in traces.items()}
+    assert {r.doc_id: r.perceptual for r in QUERIES["perceptual_flag"](spark, sf).collect()} == {i: met(T.PERCEPTUAL, t) for i, t in traces.items()}
+    assert {r.doc_id for r in QUERIES["classify_modes"](spark, sf).collect()} == set(traces)
