@@ -5,6 +5,9 @@
     python -m sparkgauge.cli build OUT --slots 16 / verify OUT
     python -m sparkgauge.cli evalset INDEX OUT --seed 0
     python -m sparkgauge.cli leaderboard ATTEMPTS
+    python -m sparkgauge.cli run CONFIG INDEX --shard 0/4 --done LOG...     the units still to be run, in order (a dry run: nothing is called)
+    python -m sparkgauge.cli styleswap WORLDS OUT --styles notebook,volcanic
+    python -m sparkgauge.cli archive ROOT OUT / check-archive OUT --live ROOT
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.estimators import pass_at_k
-from .operators import generate, merge, select
-from .sources import files
+from .operators import generate, merge, render, select
+from .sources import archive, files
 
 KEYS = ["provider", "maze", "trial"]
 
@@ -56,20 +59,52 @@ def leaderboard(rows: DataFrame) -> DataFrame:
     return cells.groupBy("provider").agg(F.round(100 * F.avg(F.col("c") / F.col("n")), 1).alias("pass1"), F.round(100 * F.avg(eight), 1).alias("pass8"), F.sum("n").alias("attempts")).orderBy(F.desc("pass1"), "provider")
 
 
+def plan(spark: SparkSession, config: str, index: str, shard: str = "0/1", done: list[str] | None = None, trials: int | None = None) -> DataFrame:
+    """The units of a shard that are still to be run, in order: provider, maze, trial, ordinal. done: logs whose rows without an error count as run."""
+    providers, default = files.read_run_config(spark, config)
+    mazes = files.good(files.read_jsonl(spark, index, files.TASK_INDEX)).select(F.col("task_id").alias("maze"))
+    units = merge.planned_units(providers.where("enabled").select("provider"), mazes, trials or default)
+    units = merge.ordinals(units, "provider", "maze", "trial")
+    i, n = (int(x) for x in shard.split("/"))
+    units = merge.shard(units, i, n)
+    if done:
+        units = merge.missing_units(units, load(spark, files.discover(spark, done)), KEYS, "has_error")
+    return units.orderBy("provider", "ordinal")
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sparkgauge", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="command", required=True)
-    for name, positional in {"merge": ["out", "shards"], "inventory": ["root"], "build": ["out"], "verify": ["out"], "evalset": ["index", "out"], "leaderboard": ["attempts"]}.items():
+    for name, positional in {"merge": ["out", "shards"], "inventory": ["root"], "build": ["out"], "verify": ["out"], "evalset": ["index", "out"], "leaderboard": ["attempts"], "run": ["config", "index"], "styleswap": ["worlds", "out"], "archive": ["root", "out"], "check-archive": ["out"]}.items():
         q = sub.add_parser(name)
         for a in positional:
             q.add_argument(a, nargs="+" if a in ("shards", "attempts") else None)
         q.add_argument("--slots", type=int, default=16)
         q.add_argument("--seed", type=int, default=0)
+        q.add_argument("--shard", default="0/1")
+        q.add_argument("--trials", type=int)
+        q.add_argument("--done", nargs="*")
+        q.add_argument("--styles", default=",".join(render.STYLES))
+        q.add_argument("--live", dest="live_root")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("sparkgauge").getOrCreate()
     if a.command == "merge":
-        return run_merge(spark, a.out, a.shards)
-    if a.command == "inventory":
+        try:
+            return run_merge(spark, a.out, files.discover(spark, a.shards))
+        except FileNotFoundError as none:
+            print(none)
+            return 1
+    if a.command == "check-archive":
+        problems = archive.verify(spark, a.out, a.live_root)
+        problems.show(1000, False)
+        return int(not problems.isEmpty())
+    if a.command == "run":
+        plan(spark, a.config, a.index, a.shard, a.done, a.trials).show(1000, False)
+    elif a.command == "styleswap":
+        render.style_swap(spark.read.parquet(a.worlds).where(F.col("rejection").isNull()), a.styles.split(","), a.seed).write.mode("overwrite").parquet(a.out)
+    elif a.command == "archive":
+        archive.build(spark, a.root, a.out).orderBy("leg").show(1000, False)
+    elif a.command == "inventory":
         files.inventory(spark, a.root).groupBy("leg").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).orderBy("leg").show(1000, False)
     elif a.command == "build":
         generate.build_split(spark, a.slots, base=a.seed).write.mode("overwrite").parquet(a.out)

@@ -200,3 +200,18 @@ def submission_error(points: Column, low: int = 2, high: int = 512) -> Column:
         .when(n > high, F.concat(F.lit("too many points ("), n.cast("string"), F.lit(f" > {high})")))
         .otherwise(F.get(errors, F.lit(0)))
     )
+
+
+def coordinate_clause(width: Column | None = None, height: Column | None = None) -> Column:
+    """What a prompt says of coordinates; the clause on the image's size only where both sides are known. The wording is a fixed value."""
+    text = F.lit("Coordinates are normalized to the image: (0,0) is the top-left corner, (1,1) is the bottom-right corner.")
+    if width is None or height is None:
+        return text
+    size = F.format_string("The image is %d pixels wide and %d pixels tall, so a pixel position (px, py) normalizes to (px/%d, py/%d).", width, height, width, height)
+    return F.concat_ws(" ", text, F.when(width.isNotNull() & height.isNotNull(), size))
+
+
+def spread_labels(ys: Column, gap: float = 2.6) -> Column:
+    """Places of labels, in ascending order, moved up so that each is at least gap above the one before."""
+    place = lambda out, y: F.concat(out, F.array(F.when(F.size(out) > 0, F.greatest(y, F.element_at(out, -1) + gap)).otherwise(y)))
+    return F.aggregate(F.array_sort(ys), F.array().cast("array<double>"), place)

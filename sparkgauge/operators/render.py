@@ -201,15 +201,21 @@ def certify(pixels: np.ndarray, mask: np.ndarray, look: Look, markers: list[tupl
     return failed
 
 
-def certified(mask: np.ndarray, name: str, seed: int, start: tuple, goal: tuple, tries: int = 6) -> tuple[np.ndarray, int, list[str]]:
-    """The first look that passes, its number, and the failures of the last if none does."""
+#: Fixed value: images tried before a task is given up.
+RESAMPLES = 6
+
+
+def certified(mask: np.ndarray, name: str, seed: int, start: tuple, goal: tuple, tries: int = RESAMPLES) -> tuple[np.ndarray, list[tuple[int, list[str]]]]:
+    """The first look that passes, and the rejected ones before it (seed, failures). Raises if none does: an image that fails is never returned."""
+    rejected = []
     for k in range(tries):
         look_seed = seed + 1_000_003 * k
         pixels = paint(mask, name, look_seed, start, goal)
         failed = certify(pixels, mask, sample(name, look_seed), [start, goal])
         if not failed:
-            break
-    return pixels, k, failed
+            return pixels, rejected
+        rejected.append((look_seed, failed))
+    raise ValueError(f"no image in style {name} is certified after {tries} tries: {rejected}")
 
 
 def overlay(pixels: np.ndarray, points: raster.Points, success: bool, collision: tuple | None = None) -> np.ndarray:
@@ -258,7 +264,10 @@ RENDERS = "slot long, style string, attempts int, failures string, bytes int, pn
 
 
 def render_all(worlds: DataFrame, seed: int = 0) -> DataFrame:
-    """Every world (slot, mask, h, w, route) in every style, certified; a task's images are made where its row is."""
+    """Every world (slot, mask, h, w, route) in every style, certified; a task's images are made where its row is.
+
+    A style without a certified image has a row without bytes, whose failures are those of the last try.
+    """
 
     def run(batches):
         for frame in batches:
@@ -267,9 +276,12 @@ def render_all(worlds: DataFrame, seed: int = 0) -> DataFrame:
                 ends = [(row["route"][i]["x"], row["route"][i]["y"]) for i in (0, -1)]
                 out = []
                 for k, name in enumerate(STYLES):
-                    pixels, tries, failed = certified(mask, name, seed + int(row["slot"]) * 1_000_003 + k, *ends)
-                    data = png(pixels)
-                    out.append((int(row["slot"]), name, tries + 1, ",".join(failed), len(data), data))
+                    try:
+                        pixels, rejected = certified(mask, name, seed + int(row["slot"]) * 1_000_003 + k, *ends)
+                        data = png(pixels)
+                        out.append((int(row["slot"]), name, len(rejected) + 1, "", len(data), data))
+                    except ValueError as failed:
+                        out.append((int(row["slot"]), name, RESAMPLES, str(failed), 0, None))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in RENDERS.split(", ")])
 
     return worlds.mapInPandas(run, RENDERS)
@@ -289,9 +301,12 @@ def style_swap(worlds: DataFrame, styles: list[str], seed: int = 0) -> DataFrame
             for _, row in frame.iterrows():
                 mask = raster.unpack(row["mask"], row["h"], row["w"])
                 route = [(p["x"], p["y"]) for p in row["route"]]
-                done = [certified(mask, name, seed + int(row["slot"]) * 1_000_003 + k, route[0], route[-1]) for k, name in enumerate(styles)]
-                if raster.first_collision(mask, route) is None and not any(failed for _, _, failed in done):
-                    out += [(int(row["slot"]), name, raster.mask_hash(mask), png(pixels)) for name, (pixels, _, _) in zip(styles, done, strict=True)]
+                try:
+                    done = [certified(mask, name, seed + int(row["slot"]) * 1_000_003 + k, route[0], route[-1])[0] for k, name in enumerate(styles)]
+                except ValueError:
+                    continue  # all styles or none
+                if raster.first_collision(mask, route) is None:
+                    out += [(int(row["slot"]), name, raster.mask_hash(mask), png(pixels)) for name, pixels in zip(styles, done, strict=True)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return worlds.mapInPandas(run, schema)

@@ -38,6 +38,82 @@ def census(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count_if(ok).alias("rows"), F.count_if(~ok).alias("malformed"), F.count_if(ok & (F.coalesce("error", F.lit("")) != "")).alias("errors"), has("reasoning").alias("traces"), has("evaluation").alias("evaluated"), F.sort_array(F.collect_set("provider")).alias("providers"))
 
 
+#: A model's answer, whatever its vendor calls the parts.
+RESPONSE = T.StructType().add("tool_arguments", "string").add("error", "string").add("latency_s", "double").add("usage", T.MapType(T.StringType(), T.DoubleType())).add("response_id", "string").add("model", "string").add("raw", "string").add("reasoning", "string").add("tool_call_id", "string")
+
+
+def discover(spark: SparkSession, paths: list[str], name: str = "attempts.jsonl") -> list[str]:
+    """Files that paths (files, folders or patterns) lead to, sorted: a folder stands for its file of that name, what is missing is dropped. None at all raises."""
+    jvm, found = spark.sparkContext._jvm, set()
+    for p in paths:
+        pattern = jvm.org.apache.hadoop.fs.Path(p)
+        fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.globStatus(pattern) or []:
+            at = status.getPath()
+            if status.isDirectory():
+                at = jvm.org.apache.hadoop.fs.Path(at, name)
+                if not fs.exists(at):
+                    continue
+            found.add(at.toString())
+    if not found:
+        raise FileNotFoundError(f"no {name} at {', '.join(paths)}")
+    return sorted(found)
+
+
+def built_splits(spark: SparkSession, root: str) -> list[str]:
+    """Sorted names of the folders below root that hold an index.jsonl."""
+    try:
+        return sorted(p.rsplit("/", 2)[1] for p in discover(spark, [f"{root.rstrip('/')}/*/index.jsonl"]))
+    except FileNotFoundError:
+        return []
+
+
+def read_run_config(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(providers: provider, type, model, enabled; default trials) of a run's JSON document; a provider is enabled and there is one trial unless it says otherwise."""
+    whole = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one small document
+    rows = [(name, p.get("type"), p.get("model"), bool(p.get("enabled", True))) for name, p in sorted((whole.get("providers") or {}).items())]
+    return spark.createDataFrame(rows, "provider string, type string, model string, enabled boolean"), int(whole.get("trials", 1))
+
+
+def write_verdicts(verdicts: DataFrame, path: str) -> None:
+    """One JSON line per failed row: its key, primary and secondary modes, quotes as evidence, and measures to four places; nulls stay out."""
+    measures = F.transform_values("measures", lambda _, v: F.round(v, 4))
+    verdicts.withColumn("measures", measures).write.mode("overwrite").json(path)
+
+
+def write_index(index: DataFrame, path: str, manifest: dict) -> None:
+    """A split's index as JSON lines in the order of ids, and beside it (``-manifest``) its build manifest with the number of rows and the sha256 of all hashes."""
+    index.orderBy("task_id").write.mode("overwrite").json(path)
+    spark = index.sparkSession
+    sums = index.agg(F.count("*").alias("rows"), F.sum(F.conv(F.substring(F.sha2(F.col("mask_sha256").cast("binary"), 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("hash_sum")).head()
+    spark.createDataFrame([(json.dumps(manifest | {"rows": sums.rows, "hash_sum": sums.hash_sum}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}-manifest")
+
+
+def task_documents(worlds: DataFrame, split: str) -> DataFrame:
+    """task_id, task and truth (JSON documents) of built worlds: coordinates from 0 to 1 to four places, lengths to two."""
+    unit = lambda p: F.struct(F.round(p["x"] / (F.col("w") - 1), 4).alias("x"), F.round(p["y"] / (F.col("h") - 1), 4).alias("y"))
+    task_id = F.format_string("%s-%s-s%04d", F.col("family"), F.coalesce("tier", F.lit("any")), F.col("slot"))
+    points = F.transform("route", unit)
+    task = F.struct(task_id.alias("task_id"), F.lit(split).alias("split"), "family", "tier", "w", "h", F.get(points, F.lit(0)).alias("start"), F.element_at(points, -1).alias("goal"), "mask_sha256", "graph_hash")
+    truth = F.struct(task_id.alias("task_id"), F.round("length_px", 2).alias("length_px"), points.alias("points"))
+    return worlds.where(F.col("rejection").isNull()).select(task_id.alias("task_id"), F.to_json(task).alias("task"), F.to_json(truth).alias("truth"), "mask", "h", "w")
+
+
+def write_tasks(documents: DataFrame, path: str) -> None:
+    """Task and truth documents as JSON lines in two tables, and masks as a third, so that they are joined by task_id and never listed file by file."""
+    documents.select("task").write.mode("overwrite").text(f"{path}/tasks")
+    documents.select("truth").write.mode("overwrite").text(f"{path}/truths")
+    documents.select("task_id", "mask", "h", "w").write.mode("overwrite").parquet(f"{path}/masks")
+
+
+def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Task documents joined with their truth and mask."""
+    unit = "struct<x:double,y:double>"
+    tasks = spark.read.schema(f"task_id string, split string, family string, tier string, w int, h int, start {unit}, goal {unit}, mask_sha256 string, graph_hash string").json(f"{path}/tasks")
+    truths = spark.read.schema(f"task_id string, length_px double, points array<{unit}>").json(f"{path}/truths")
+    return tasks.join(truths, "task_id").join(spark.read.parquet(f"{path}/masks").select("task_id", "mask"), "task_id")
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids by line or comma, trimmed; blanks and parts that begin with # are dropped."""
     parts = spark.read.text(path).select(F.explode(F.split("value", ",")).alias("part"))

@@ -13,8 +13,8 @@ ENDS = ((20, 20), (100, 100))
 
 @pytest.mark.parametrize("name", list(render.STYLES))
 def test_every_style_is_certified_and_repeats(name):
-    pixels, _, failed = render.certified(MASK, name, 5, *ENDS)
-    assert not failed and (pixels == render.certified(MASK, name, 5, *ENDS)[0]).all()
+    pixels, rejected = render.certified(MASK, name, 5, *ENDS)
+    assert len(rejected) < render.RESAMPLES and (pixels == render.certified(MASK, name, 5, *ENDS)[0]).all()
     assert (pixels != render.paint(MASK, name, 99, *ENDS)).any()
 
 
@@ -41,6 +41,12 @@ def test_variants_overlays_and_png(spark, tmp_path):
     assert (np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1)[:, :, 0] > 127).tolist() == MASK.tolist()
 
 
+def test_no_image_is_returned_that_fails(monkeypatch):
+    monkeypatch.setattr(render, "certify", lambda *a: ["edge"])
+    with pytest.raises(ValueError, match="notebook.*6 tries"):
+        render.certified(MASK, "notebook", 1, *ENDS)
+
+
 def test_worlds_in_all_styles(spark):
     rows = render.render_all(generate.build_split(spark, 2)).select("slot", "style", "failures").collect()
     assert len(rows) == 40 and sum(not r.failures for r in rows) >= 38
