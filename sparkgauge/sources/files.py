@@ -50,7 +50,7 @@ def discover(spark: SparkSession, paths: list[str], name: str = "attempts.jsonl"
         fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         for status in fs.globStatus(pattern) or []:
             at = status.getPath()
-            if status.isDirectory():
+            if status.isDirectory() and not at.getName().endswith(".jsonl"):  # a folder of that kind is a log that Spark has written
                 at = jvm.org.apache.hadoop.fs.Path(at, name)
                 if not fs.exists(at):
                     continue
