@@ -14,6 +14,7 @@ Words stand between white space; in scripts that don't space their words, every
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -30,7 +31,7 @@ from .common import discard, lookup, materialize
 MIN_WORDS = 20
 #: Repeated runs of this many words are passages; an anchor is one of ANCHOR_WORDS of them. Apart by PASSAGE_WORDS - ANCHOR_WORDS + 1 at most.
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 36
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+SENTENCE_END, WIDE_STOP = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*"), re.compile("[。！？]")
 #: Thai to Tibetan, Myanmar, Khmer, Japanese and Chinese: scripts without spaces between words.
 UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNSPACED_LETTER, WORD = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
@@ -43,19 +44,50 @@ def split_words(text: str) -> list[str]:
     return [m.lower() for m in WORD.findall(text)]
 
 
-def _sentences(line: str, spaced: bool, min_words: int) -> list[tuple[int, int]]:
-    """Spans of the sentences of a line, if any of several can have min_words: words that end a sentence are told by their last letter."""
-    if spaced:
-        words = line.split()
-        ends = [i for i, w in enumerate(words) if w[-1] in ".!?"]
-        if not ends or max(b - a for a, b in zip([-1, *ends], [*ends, len(words) - 1], strict=True)) < min_words:
-            return []
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of every code point: 0 for white space, 2 for a word of its own, 1 for others."""
+    kinds = np.ones(0x110000, np.uint8)
+    kinds[[i for i in range(0x10000) if chr(i).isspace()]] = 0
+    for first, last in re.findall("(.)-(.)", UNSPACED):
+        kinds[ord(first) : ord(last) + 1] = 2
+    return kinds
+
+
+def word_places(text: str) -> np.ndarray:
+    """A row (start, end) for each of the words that split_words finds."""
+    kinds = np.zeros(len(text) + 2, np.uint8)
+    kinds[1:-1] = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    here, alone = kinds[1:-1], kinds[1:-1] == 2
+    starts, ends = ((here > 0) & (alone | (here != beside)) for beside in (kinds[:-2], kinds[2:]))
+    return np.stack([np.flatnonzero(starts), np.flatnonzero(ends) + 1], axis=1).astype(np.int32)
+
+
+def _sentences(line: str, words: list[str] | None, min_words: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of the sentences of min_words or more in a line of several.
+
+    words are those of the line if every sentence in it ends with a word: then they needn't be split again, and places are sought only
+    where a sentence is long enough.
+    """
+    if words is not None:
+        ends = [i for i, w in enumerate(words, 1) if w[-1] in ".!?"]
+        if not ends or ends[-1] < len(words):
+            ends.append(len(words))
+        parts = [words[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        if len(parts) < 2 or max(map(len, parts)) < min_words:
+            return
     edges = [0]
     for cut in SENTENCE_END.finditer(line):
         edges += cut.span()
     edges.append(len(line))
     spans = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a]
-    return spans if len(spans) > 1 else []
+    if len(spans) < 2:
+        return
+    if words is None:
+        parts = [split_words(line[a:b]) for a, b in spans]
+    for (a, b), part in zip(spans, parts, strict=True):
+        if len(part) >= min_words:
+            yield a, b, part
 
 
 def _digest(words: list[str]) -> bytes:
@@ -66,14 +98,13 @@ def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[str, i
     """(level, start, end, words, digest) of every line and sentence of min_words or more; a line of one sentence is a line only."""
     text = text or ""
     spaced, at = text.isascii() or not UNSPACED_LETTER.search(text), 0
+    whole = spaced and (text.isascii() or not WIDE_STOP.search(text))
     for line in text.split("\n"):
-        cut = (lambda t: t.lower().split()) if spaced else split_words
         # a line of fewer words has no sentence of more
-        if len(line) >= (2 * min_words - 1 if spaced else min_words) and len(words := cut(line)) >= min_words:
+        if len(line) >= (2 * min_words - 1 if spaced else min_words) and len(words := split_words(line)) >= min_words:
             yield "line", at, at + len(line), len(words), _digest(words)
-            for a, b in _sentences(line, spaced, min_words):
-                if len(words := cut(line[a:b])) >= min_words:
-                    yield "sentence", at + a, at + b, len(words), _digest(words)
+            for a, b, part in _sentences(line, words if whole else None, min_words):
+                yield "sentence", at + a, at + b, len(part), _digest(part)
         at += len(line) + 1
 
 
@@ -82,18 +113,23 @@ UNITS = "doc_id long, row_uid long, level string, start int, end int, words int,
 
 def _emit(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
         names = [x.split()[0] for x in UNITS.split(", ")]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            *columns, digests = zip(*rows, strict=True)
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *map(pa.array, halves.T)], names=names)
+
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for level, a, b, n, d in units(text.as_py(), min_words):
-                    rows.append((doc_id, uid, level, a, b, n, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                rows += [(doc_id, uid, *unit) for unit in units(text.as_py(), min_words)]
                 if len(rows) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield table(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield table(rows)
 
     return run
 
@@ -213,7 +249,7 @@ def _runs(size: int, anchor: int):
                 hashes = _hashes(split_words(t), cache)
                 mixed = _mixed(rolls[0](hashes, anchor))
                 picked = np.flatnonzero(_is_anchor(mixed, size - anchor + 1) & np.isin(mixed.view(np.int64), given.values.to_numpy()))
-                places = np.array([m.span() for m in WORD.finditer(t)], np.int32)
+                places = word_places(t)
                 after = np.append(places[1:, 0], np.int32(len(t)))
                 high, low = (roll(h, anchor)[picked].view(np.int64) for roll, h in zip(rolls, (hashes, _mixed(hashes)), strict=True))
                 last = picked + anchor - 1
@@ -242,7 +278,7 @@ def _contexts(reach: int):
             edges, sides, places_at = asked.offsets.to_numpy(), asked.values.field("side").to_numpy(), asked.values.field("at").to_numpy()
             for i, (uid, text) in enumerate(zip(batch.column("row_uid").to_pylist(), batch.column("text"), strict=True)):
                 t, side, at = text.as_py(), sides[edges[i] : edges[i + 1]], places_at[edges[i] : edges[i + 1]]
-                hashes, places = _hashes(split_words(t), cache).view(np.int64), np.array([m.span() for m in WORD.finditer(t)], np.int32)
+                hashes, places = _hashes(split_words(t), cache).view(np.int64), word_places(t)
                 n = np.minimum(reach, np.where(side == 0, at, len(places) - at))
                 inside = steps < n[:, None]
                 word = np.where(side[:, None] == 0, at[:, None] - 1 - steps, at[:, None] + steps)[inside]

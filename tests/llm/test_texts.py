@@ -357,6 +357,22 @@ def test_units_match_their_definition():
         assert [u[:4] for u in R.units(text)] == units_by_hand(text)
 
 
+def test_places_of_words_are_those_of_the_pattern():
+    rng = random.Random(19)
+    letters = "ab \t\n\x1c\u00a0\u2003\u3000.\u0e01\u4e00\u30ab\uac00\U00020000\U0001f600\u0130"
+    for _ in range(300):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        assert [tuple(x) for x in R.word_places(text).tolist()] == [m.span() for m in R.WORD.finditer(text)]
+        assert len(R.word_places(text)) == len(R.split_words(text))
+
+
+def test_wide_stops_end_sentences_in_spaced_lines():
+    rng = random.Random(20)
+    first, second = words(rng, 24) + "\u3002", words(rng, 22) + "."
+    text = first + second
+    assert [(level, text[a:b], n) for level, a, b, n, _ in R.units(text)] == [("line", text, 45), ("sentence", first, 24), ("sentence", second, 22)]
+
+
 def test_scripts_without_spaces_have_units(spark):
     rng = random.Random(17)
     zh = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
