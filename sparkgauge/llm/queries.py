@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, ngram_join, packing, secret_scan, substring_dedup, url_rules, warc
+from . import centroids, chat_format, decontaminate, exact_dedup, language_id, media, ngram_join, packing, repair, secret_scan, substring_dedup, url_rules, warc
 from .common import shared_dir
 
 
@@ -86,8 +86,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, benchmark)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all embeddings after three rounds."""
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage all conversations, and find the cheapest repair of each."""
+    return repair.repair(repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store all documents as JPEG images, read the images back, and describe them."""
+    stored = media.store(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id"), F.col("text"))
+    return media.features(stored).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_warc, op2_best_fit_packing, op3_exact_dedup, op4_secret_scan, op5_substring_dedup, op6_language_id, op7_url_filter, op8_chat_format, op9_ngram_jaccard_join, op10_decontaminate)}
+    return {q.__name__: q for q in (op1_warc, op2_best_fit_packing, op3_exact_dedup, op4_secret_scan, op5_substring_dedup, op6_language_id, op7_url_filter, op8_chat_format, op9_ngram_jaccard_join, op10_decontaminate, op11_centroid_clustering, op12_conversation_repair, op13_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -112,4 +128,60 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
                    sum(block)::BIGINT AS formatted_chars
             FROM e GROUP BY conv_id""",
+        "op11_centroid_clustering": clustering_sql(16, 3),
+        "op12_conversation_repair": repair_sql(),
     }
+
+
+def clustering_sql(k: int, rounds: int) -> str:
+    """The rounds one after the other, every vector against every centroid; components are taken one by one."""
+    steps = [f"""
+        WITH k AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        x AS (SELECT n, v[i] AS x, i FROM k, (SELECT unnest(range(1, 65)) AS i)),
+        s AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM k WHERE vec_id IS NOT NULL QUALIFY c < {k}),
+        c0 AS (SELECT c, i, v[i] AS x FROM s, (SELECT unnest(range(1, 65)) AS i))"""]
+    near = """a{r} AS (SELECT n, min(d * 1000 + c) % 1000 AS c, min(d * 1000 + c) // 1000 AS d
+                   FROM (SELECT x.n, c.c, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN c{r} c USING (i) GROUP BY ALL) GROUP BY n)"""
+    for r in range(rounds):
+        steps.append(near.format(r=r))
+        steps.append(f"""m{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN x USING (n) GROUP BY c, i),
+        c{r + 1} AS (SELECT c, i, CASE WHEN m.n IS NULL THEN o.x ELSE (s - ((s % m.n) + m.n) % m.n) // m.n END AS x FROM c{r} o LEFT JOIN m{r} m USING (c, i))""")
+    steps.append(near.format(r=rounds))
+    steps.append(f"h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return ",\n        ".join(steps) + f"""
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN k USING (n) JOIN h USING (c)"""
+
+
+def repair_sql() -> str:
+    """Costs and audits from the last row to the first as strings, six digits and then letters, whose least is the cheapest and least audit."""
+    add = lambda v, cost, letter: f"lpad((left({v}, 6)::INTEGER + {cost})::VARCHAR, 6, '0') || '{letter}' || substr({v}, 7)"
+    keep = lambda kinds, to: " ".join(f"WHEN kind = '{k}' THEN {add(f'v{t}', 'cut', 'K')}" for k, t in zip(kinds, to, strict=True))
+    row = lambda q, kinds, to, other: f"CASE WHEN gone THEN {add(f'v{q}', 4, 'D')} ELSE least({add(f'v{q}', 4, 'D')}, {add(f'v{other}', '3 + cut', 'R')}, CASE {keep(kinds, to)} ELSE '999999' END) END AS w{q}"
+    rows = ", ".join(row(*x) for x in ((0, "su", (1, 2), 2), (1, "u", (2,), 2), (2, "a", (3,), 3), (3, "u", (2,), 2)))
+    insert = ", ".join(f"least(w{q}, {add('w2', 3, 'I')}, {add('w3', 6, 'II')}) AS v{q}" if q != 2 else f"least(w2, {add('w3', 3, 'I')}) AS v2" for q in range(4))
+    return rf"""
+        WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)),
+        given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+        fates AS (SELECT * EXCLUDE tab, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate FROM given, crc),
+        hurt AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                        unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM fates WHERE fate <> 0),
+        told AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+                        NOT regexp_matches(text, '[^ 	-
+]') AS bare, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open, left(role, 1) AS kind, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) || left(role, 1) AS pair FROM hurt),
+        rows AS (SELECT *, bare OR again AS gone, CASE WHEN open THEN 3 ELSE 0 END AS cut FROM told),
+        dp AS (SELECT DISTINCT conv_id, n + 1 AS i, '000000' AS v0, '000006II' AS v1, '000003I' AS v2, '000000' AS v3 FROM rows
+               UNION ALL
+               SELECT conv_id, i, {insert} FROM (SELECT r.conv_id, r.i, {rows} FROM dp JOIN rows r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i - 1)),
+        best AS (SELECT conv_id, left(v0, 6)::BIGINT AS cost, substr(v0, 7) AS audit FROM dp WHERE i = 1),
+        letters AS (SELECT conv_id, j, audit[j] AS letter, len(regexp_replace(audit[:j], 'I', '', 'g')) AS i, len(regexp_replace(audit[:j], 'D', '', 'g')) AS p FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS j FROM best)),
+        fixed AS (SELECT l.*, r.kind, r.role, r.text, max(CASE WHEN letter = 'K' AND r.kind = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS led
+                  FROM letters l LEFT JOIN rows r ON l.letter <> 'I' AND r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i WHERE l.letter <> 'D'),
+        texts AS (SELECT conv_id, sha256(string_agg((CASE WHEN letter = 'K' THEN role WHEN (p - led) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha FROM fixed GROUP BY conv_id),
+        counts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (bare) AS blank, count(*) FILTER (again AND NOT bare) AS duplicate,
+                          count(*) FILTER (open AND NOT bare AND NOT again) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+        SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM g.conv_id"""
