@@ -1,7 +1,7 @@
 """Merging shards of attempt records: which duplicate stays, where duplicates disagree, and what is missing.
 
-All operators are keyed aggregations or anti-joins; keep_best and per_leg combine before the shuffle, so a key
-with very many duplicates costs one row per task.
+All operators are keyed aggregations, prefix scans or anti-joins; keep_best and per_leg combine before the shuffle, so a key
+with very many duplicates costs one row per task, and scans spread it over several.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .scan import Fold, segmented_scan
 
 
 def keep_best(rows: DataFrame, keys: Sequence[str], evaluated: str, ts: str, arrival: Sequence[Column]) -> DataFrame:
@@ -27,12 +28,11 @@ def keep_best(rows: DataFrame, keys: Sequence[str], evaluated: str, ts: str, arr
 def conflicts(rows: DataFrame, keys: Sequence[str], evaluated: str, success: str, ts: str, shard: str, arrival: Sequence[Column]) -> DataFrame:
     """Every row that disagrees with the best of the earlier rows of its key, both evaluated: key, arrival, kind.
 
-    kind is cross_shard, or re_execution within one shard. The running best is a window frame that ends before the row.
+    kind is cross_shard, or re_execution within one shard. The running best is a prefix scan, so a key may have any number of rows.
     """
-    numbered = rows.withColumn("arrival", F.row_number().over(Window.partitionBy(*keys).orderBy(*arrival)).cast("long"))
-    frame = Window.partitionBy(*keys).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.struct(F.col(evaluated).alias("e"), F.coalesce(F.col(ts), F.lit("")).alias("t"), (-F.col("arrival")).alias("a"), F.col(success).alias("s"), F.col(shard).alias("sh"))
-    seen = numbered.withColumn("best", F.max(rank).over(frame))
+    first = [x for i, c in enumerate(arrival) for x in (c.isNull().alias(f"n{i}"), (-c).alias(f"a{i}"))]
+    rank = F.struct(F.col(evaluated).alias("e"), F.coalesce(F.col(ts), F.lit("")).alias("t"), *first, F.col(success).alias("s"), F.col(shard).alias("sh"))
+    seen = segmented_scan(rows, keys, arrival, {"arrival": Fold(F.lit(1).cast("long")), "best": Fold(rank, "max", "before")})
     clash = F.col("best.e") & F.col(evaluated) & (F.col("best.s") != F.col(success))
     kind = F.when(F.col("best.sh") != F.col(shard), "cross_shard").otherwise("re_execution")
     return seen.where(clash).select(*keys, "arrival", kind.alias("kind"))
@@ -58,8 +58,8 @@ def missing_units(units: DataFrame, recorded: DataFrame, keys: Sequence[str], er
 def ordinals(units: DataFrame, leg: str, task: str, trial: str, seed: int = 0) -> DataFrame:
     """Dense ordinal per leg: tasks shuffled by hash, a task's trials side by side."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(leg).cast("string"), F.col(task).cast("string")))
-    order = Window.partitionBy(leg).orderBy(key, task, trial)
-    return units.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
+    places = segmented_scan(units.withColumn("__shuffled", key), [leg], ["__shuffled", task, trial], {"ordinal": Fold(F.lit(1).cast("long"))})
+    return places.drop("__shuffled").withColumn("ordinal", F.col("ordinal") - 1)
 
 
 def shard(units: DataFrame, index: int, count: int) -> DataFrame:

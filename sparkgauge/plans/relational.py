@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import merge
 from .registry import query
-from .views import PROVIDERS, SQL_ATTEMPTS, SQL_TASKS, SQL_TRIALS, TASKS, attempts, table, tasks, trials
+from .views import PROVIDERS, SQL_ATTEMPTS, SQL_TASKS, SQL_TRIALS, attempts, table, tasks, trials
 
 KEYS = ["run", "line"]
 
@@ -51,35 +51,33 @@ def agg_per_leg(spark: SparkSession, sf: str) -> DataFrame:
     return legs.withColumn("canary_tasks", F.concat_ws(",", "canary_tasks"))
 
 
-@query(f"""WITH {SQL_ATTEMPTS}, {SQL_TRIALS}, units AS (SELECT p.r AS provider, t.r AS task_id, k.r AS trial FROM range(7) p(r), range(100) t(r), range(120) k(r))
+@query(f"""WITH {SQL_ATTEMPTS}, {SQL_TRIALS}, {SQL_TASKS}, units AS (SELECT p.r AS provider, task_id, k.r AS trial FROM (SELECT DISTINCT s_suppkey % 7 AS r FROM supplier) p, tasks, range(120) k(r))
     SELECT u.* FROM units u WHERE NOT EXISTS (SELECT 1 FROM trials x WHERE x.provider = u.provider AND x.task_id = u.task_id AND x.trial = u.trial AND NOT x.has_error)""")
 def anti_missing_units(spark: SparkSession, sf: str) -> DataFrame:
-    units = merge.planned_units(spark.range(PROVIDERS).withColumnRenamed("id", "provider"), spark.range(TASKS).withColumnRenamed("id", "task_id"), 120)
+    providers = table(spark, sf, "supplier").select((F.col("s_suppkey") % PROVIDERS).alias("provider")).distinct()
+    units = merge.planned_units(providers, tasks(spark, sf).select("task_id"), 120)
     return merge.missing_units(units, trials(attempts(spark, sf)), ["provider", "task_id", "trial"], "has_error")
 
 
-@query(f"""WITH {SQL_ATTEMPTS}, {SQL_TRIALS}, units AS (SELECT p.r AS provider, t.r AS task_id, k.r AS trial FROM range(7) p(r), range(100) t(r), range(120) k(r))
+@query(f"""WITH {SQL_ATTEMPTS}, {SQL_TRIALS}, {SQL_TASKS}, units AS (SELECT p.r AS provider, task_id, k.r AS trial FROM (SELECT DISTINCT s_suppkey % 7 AS r FROM supplier) p, tasks, range(120) k(r))
     SELECT DISTINCT u.task_id FROM units u WHERE NOT EXISTS (SELECT 1 FROM trials x WHERE x.provider = u.provider AND x.task_id = u.task_id AND x.trial = u.trial AND NOT x.has_error)""")
 def anti_missing_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return anti_missing_units(spark, sf).select("task_id").distinct()
 
 
-SQL_ORDINALS = """units AS (SELECT p.r AS provider, t.r AS task_id, k.r AS trial FROM range(7) p(r), range(100) t(r), range(3) k(r)),
+SQL_ORDINALS = f"""{SQL_TASKS}, units AS (SELECT s_suppkey AS provider, task_id, k.r AS trial FROM supplier, tasks, range(3) k(r)),
     ordered AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY md5(concat_ws('|', '0', provider, task_id)), task_id, trial) - 1 AS ordinal FROM units)"""
 
 
-def _plan(spark: SparkSession, n: int = 3) -> DataFrame:
-    return merge.planned_units(spark.range(PROVIDERS).withColumnRenamed("id", "provider"), spark.range(TASKS).withColumnRenamed("id", "task_id"), n)
-
-
-@query("SELECT p.r AS provider, t.r AS task_id, k.r AS trial FROM range(7) p(r), range(100) t(r), range(3) k(r)")
+@query(f"WITH {SQL_TASKS} SELECT s_suppkey AS provider, task_id, k.r AS trial FROM supplier, tasks, range(3) k(r)")
 def join_cross_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark)
+    """Every supplier as a provider, against the bounded task dimension."""
+    return merge.planned_units(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("provider")), tasks(spark, sf).select("task_id"), 3)
 
 
 @query(f"WITH {SQL_ORDINALS} SELECT * FROM ordered")
 def win_ordinal(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.ordinals(_plan(spark), "provider", "task_id", "trial")
+    return merge.ordinals(join_cross_plan(spark, sf), "provider", "task_id", "trial")
 
 
 @query(f"WITH {SQL_ORDINALS} SELECT * FROM ordered WHERE ordinal % 7 = 3")

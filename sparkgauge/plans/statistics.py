@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import estimators
 from ..functions.estimators import binomial_two_sided, hash_index
+from ..operators.scan import nearest_ranks
 from .registry import query
 from .relational import SQL_LOADED, SQL_PRICES, prices
 from .views import PROVIDERS, SQL_ATTEMPTS, SQL_TASKS, SQL_TRIALS, attempts, table, tasks, trials
@@ -229,13 +230,9 @@ def localization_error(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH r AS (SELECT l_suppkey % 7 AS provider, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey % 7 ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey % 7) AS n FROM lineitem)
     SELECT provider, p.p::BIGINT AS percent, v AS value FROM r, (VALUES (50), (75), (90), (95)) p(p) WHERE i = least(n - 1, round_even(p.p / 100.0::DOUBLE * (n - 1), 0))""")
 def nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact nearest-rank percentiles from a table of counts per value: no group is sorted in one place before it is reduced."""
-    values = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("provider"), F.col("l_extendedprice").alias("value")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy("provider").orderBy("value")
-    ranked = values.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy("provider")))
-    percents = spark.createDataFrame([(p,) for p in (50, 75, 90, 95)], "percent long")
-    index = F.least(F.col("n") - 1, F.rint(F.col("percent") / 100.0 * (F.col("n") - 1)).cast("long"))
-    return ranked.crossJoin(F.broadcast(percents)).where((index < F.col("upto")) & (index >= F.col("upto") - F.col("k"))).select("provider", "percent", "value")
+    """Exact nearest-rank percentiles: counts per value, dealt by ranges of provider and value."""
+    values = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 7).alias("provider"), F.col("l_extendedprice").alias("price"))
+    return nearest_ranks(values, ["provider"], "price", (50, 75, 90, 95)).withColumn("percent", F.col("percent").cast("long"))
 
 
 @query(A + " SELECT r.r::BIGINT AS radius, provider, round(avg((latency_s >= r.r * 5 AND success)::INT), 6) AS rate FROM attempts, (VALUES (1), (2), (3), (5), (8)) r(r) WHERE NOT has_error GROUP BY ALL")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import Fold, segmented_scan
+
 PROVIDERS, TASKS = 7, 100
 
 
@@ -60,10 +62,8 @@ SQL_POINTS = """points AS (SELECT vec_id, i, 100.0::DOUBLE + 400.0::DOUBLE * emb
 
 def trials(rows: DataFrame) -> DataFrame:
     """attempts with trial, dense from 0 within provider and task."""
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("provider", "task_id").orderBy("run", "line", "part", "shard", "price")
-    return rows.withColumn("trial", (F.row_number().over(order) - 1).cast("long"))
+    numbered = segmented_scan(rows, ["provider", "task_id"], ["run", "line", "part", "shard", "price"], {"trial": Fold(F.lit(1).cast("long"))})
+    return numbered.withColumn("trial", F.col("trial") - 1)
 
 
 SQL_TRIALS = "trials AS (SELECT *, row_number() OVER (PARTITION BY provider, task_id ORDER BY run, line, part, shard, price) - 1 AS trial FROM attempts)"
