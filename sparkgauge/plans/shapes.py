@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import spatial
 from .registry import query
 from .views import SQL_POINTS, point, polylines, table
 
@@ -235,14 +236,33 @@ def arr_concat(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(P + ", f AS (SELECT p.vec_id, e.label, x, y FROM points p JOIN embeddings e USING (vec_id) WHERE i = 0), c AS (SELECT *, floor(x / 6)::BIGINT AS cx, floor(y / 6)::BIGINT AS cy FROM f) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 4) AS d FROM c a JOIN c b ON a.label = b.label AND a.vec_id < b.vec_id WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < 6")
 def join_theta_distance(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of one task nearer than 6 px, by a grid of 6-px cells: an equi-join with the nine cells around, not all pairs."""
+    """Pairs of one task nearer than 6 px."""
     p = lines(spark, sf).select("vec_id", "label", F.col("pts")[0]["x"].alias("x"), F.col("pts")[0]["y"].alias("y"))
-    cell = lambda c: F.floor(F.col(c) / 6)
-    a = p.select("label", F.col("vec_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    near = [F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    b = p.select("label", F.col("vec_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.array(*near)).alias("c")).select("label", "b", "bx", "by", "c.cx", "c.cy")
-    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return a.join(b, ["label", "cx", "cy"]).where((F.col("a") < F.col("b")) & (d < 6)).select("a", "b", r4(d).alias("d"))
+    return spatial.near_pairs(p, ["label"], "vec_id", ["x", "y", "x", "y"], 6.0).select("a", "b", r4(F.sqrt("squared")).alias("d"))
+
+
+def _sql_to_segment(px: str, py: str, s: str) -> str:
+    size = f"(({s}.x1 - {s}.x0) * ({s}.x1 - {s}.x0) + ({s}.y1 - {s}.y0) * ({s}.y1 - {s}.y0))"
+    t = f"CASE WHEN {size} > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (({px} - {s}.x0) * ({s}.x1 - {s}.x0) + ({py} - {s}.y0) * ({s}.y1 - {s}.y0)) / {size})) ELSE 0.0::DOUBLE END"
+    return f"(pow({px} - ({s}.x0 + {t} * ({s}.x1 - {s}.x0)), 2) + pow({py} - ({s}.y0 + {t} * ({s}.y1 - {s}.y0)), 2))"
+
+
+_SIDE = lambda p, q, x, y: f"(({p}.x1 - {p}.x0) * ({q}.{y} - {p}.y0) - ({p}.y1 - {p}.y0) * ({q}.{x} - {p}.x0))"
+_CROSS = " AND ".join(f"{_SIDE(p, q, 'x0', 'y0')} * {_SIDE(p, q, 'x1', 'y1')} < 0" for p, q in (("a", "b"), ("b", "a")))
+_ENDS = ", ".join(_sql_to_segment(f"{p}.x{i}", f"{p}.y{i}", q) for p, q in (("a", "b"), ("b", "a")) for i in (0, 1))
+
+
+@query(P + f""", e AS (SELECT p.vec_id, g.label, p.vec_id * 32 + p.i AS edge, p.i AS i, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM points p JOIN points q ON q.vec_id = p.vec_id AND q.i = p.i + 1 JOIN embeddings g ON g.vec_id = p.vec_id WHERE p.i < 8),
+    n AS (SELECT a.label, a.edge AS a, b.edge AS b, CASE WHEN {_CROSS} THEN 0.0 ELSE least({_ENDS}) END AS squared FROM e a JOIN e b ON a.label = b.label AND a.edge < b.edge WHERE NOT (a.vec_id = b.vec_id AND b.i = a.i + 1)),
+    c AS (SELECT label, unnest([a, b]) AS edge, squared FROM n WHERE squared < 4) SELECT edge, count(*) AS near, count(*) FILTER (squared = 0) AS crossed, round(sqrt(min(squared)), 4) AS nearest FROM c GROUP BY edge""")
+def join_theta_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """For each of the first eight edges of a polyline: edges of its task nearer than 2 px that share no node with it, those it crosses, and how near the nearest is."""
+    p = lines(spark, sf).select("vec_id", "label", F.posexplode(F.arrays_zip(F.slice("pts", 1, 8).alias("p"), F.slice("pts", 2, 8).alias("q"))).alias("i", "e"))
+    edges = p.select("vec_id", "label", "i", (F.col("vec_id") * 32 + F.col("i")).alias("edge"), F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
+    pairs = spatial.near_pairs(edges, ["label"], "edge", ["x0", "y0", "x1", "y1"], 2.0, apart=("vec_id", "i"))
+    pairs = pairs.where(~((F.col("a_vec_id") == F.col("b_vec_id")) & (F.col("b_i") == F.col("a_i") + 1)))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("edge"), "squared")
+    return ends.groupBy("edge").agg(F.count("*").alias("near"), F.count_if(F.col("squared") == 0).alias("crossed"), r4(F.sqrt(F.min("squared"))).alias("nearest"))
 
 
 @query(P + ", r AS (SELECT k.k AS room, 60 + 20 * k.k AS x0, 60.0 AS y0, 70 + 20 * k.k AS x1, 140.0 AS y1 FROM range(0, 5) k(k)) SELECT vec_id, room::BIGINT AS room, round(min(sqrt(pow(greatest(x0 - x, 0, x - x1), 2) + pow(greatest(y0 - y, 0, y - y1), 2))), 4) AS d FROM points, r GROUP BY ALL HAVING min(sqrt(pow(greatest(x0 - x, 0, x - x1), 2) + pow(greatest(y0 - y, 0, y - y1), 2))) < 5")
