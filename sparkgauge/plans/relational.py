@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import merge
+from ..sources import archive
 from .registry import query
 from .views import PROVIDERS, SQL_ATTEMPTS, SQL_TASKS, SQL_TRIALS, attempts, table, tasks, trials
 
@@ -91,6 +92,15 @@ def anti_resume(spark: SparkSession, sf: str) -> DataFrame:
     return merge.missing_units(win_ordinal(spark, sf), done, ["provider", "task_id", "trial"], "has_error")
 
 
+@query(f"""WITH {SQL_ATTEMPTS}, placed AS (SELECT provider, concat_ws('|', run, line, part, shard, ts) AS value, row_number() OVER (PARTITION BY provider ORDER BY run, line, part, shard, price) AS place FROM attempts),
+    blocks AS (SELECT provider, (place - 1) // 4096 AS block, count(*) AS lines, sha256(string_agg(sha256(value), '' ORDER BY place)) AS digest FROM placed GROUP BY ALL)
+    SELECT provider::VARCHAR AS leg, sum(lines)::BIGINT AS lines, list_reduce(list_prepend('', list(digest ORDER BY block)), lambda a, d: sha256(a || d)) AS head FROM blocks GROUP BY provider""")
+def archive_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The chained digests of each provider's attempts as a log: what an archive's manifest says of a leg."""
+    rows = attempts(spark, sf).select(F.col("provider").cast("string").alias("leg"), F.concat_ws("|", "run", "line", "part", "shard", "ts").alias("value"), "run", "line", "part", "shard", "price")
+    return archive.chain_heads(archive.block_digests(archive.placed(rows, ["run", "line", "part", "shard", "price"])))
+
+
 @query(f"WITH {SQL_ATTEMPTS} SELECT DISTINCT provider, task_id, line FROM attempts WHERE NOT has_error")
 def agg_distinct_keys(spark: SparkSession, sf: str) -> DataFrame:
     return attempts(spark, sf).where(~F.col("has_error")).select("provider", "task_id", "line").distinct()

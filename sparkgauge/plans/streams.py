@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_path
-from ..streaming import streams
+from ..streaming import episodes, streams
 from .registry import query
 
 
@@ -63,3 +63,32 @@ def _closing(spark: SparkSession) -> str:
     path = fresh_path(spark, "closing")
     spark.sql("SELECT -1L AS event_id, timestamp'2100-01-01 00:00:00' AS ts, -1L AS user_id").write.parquet(path)
     return path
+
+
+SQL_EPISODES = """WITH t AS (SELECT conv_id, turn, length(text) AS far, role = 'assistant' AND length(text) % 7 = 0 AS success, length(text) % 31 = 0 AS error, length(text) % 37 > 0 AS shown FROM conversations WHERE turn < 6),
+    r AS (SELECT *, CASE WHEN error THEN 'transport' WHEN success THEN 'success' WHEN turn = 5 THEN 'exhausted' WHEN NOT shown THEN 'no_overlay' END AS stop, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM t),
+    f AS (SELECT *, min(CASE WHEN stop IS NOT NULL THEN turn END) OVER (PARTITION BY conv_id) AS stop_turn FROM r WHERE place = turn)
+    SELECT conv_id AS episode, count(*) FILTER (NOT error) AS turns, coalesce(bool_or(stop = 'success'), false) AS solved, max(CASE WHEN stop = 'success' THEN turn END) AS first_success,
+           coalesce(string_agg(far::VARCHAR, ',' ORDER BY turn) FILTER (NOT error), '') AS progress, coalesce(max(stop), 'abandoned') AS stop_reason FROM f WHERE stop_turn IS NULL OR turn <= stop_turn GROUP BY conv_id"""
+
+
+def turns(rows: DataFrame) -> DataFrame:
+    """Conversations as turns of episodes, a minute each."""
+    size = F.length("text")
+    return rows.select(F.col("conv_id").alias("episode"), F.col("turn").cast("int").alias("turn"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60).alias("ts"), (size % 31 == 0).alias("error"), ((F.col("role") == "assistant") & (size % 7 == 0)).alias("success"), (size % 37 > 0).alias("shown"), size.cast("long").alias("progress"))
+
+
+@query(SQL_EPISODES)
+def stream_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation as an episode of a stream; a far later turn lets the watermark pass those that never stopped."""
+    path = fresh_path(spark, "closing")
+    spark.sql("SELECT -1L AS episode, 1 AS turn, timestamp'2100-01-01 00:00:00' AS ts, false AS error, false AS success, false AS shown, 0L AS progress").write.parquet(path)
+    both = turns(streams.read_log(spark, f"{sf}/conversations.parquet")).unionByName(streams.read_log(spark, path))
+    with streams.rocks(spark):
+        return streams.drain(episodes.episodes(both, "0 seconds", 3600), "episodes").where(F.col("episode") >= 0)
+
+
+@query(SQL_EPISODES)
+def episodes_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same episodes from the table at rest."""
+    return episodes.ended(turns(spark.read.parquet(f"{sf}/conversations.parquet")))

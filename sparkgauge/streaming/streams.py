@@ -6,7 +6,8 @@ Sinks and checkpoints lie in the folder the session names, so a restarted driver
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,21 @@ from pyspark.sql import functions as F
 from ..sources.scratch import fresh_path
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def read_log(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A Parquet table, a file or a folder of files, as a stream, with the schema it has now.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import math
 
@@ -80,22 +81,84 @@ def log(folder, rows, tail=""):
 
 def test_archives(spark, tmp_path):
     root, out = tmp_path / "runs", f"file://{tmp_path}/out"
-    log(root / "a", [{"provider": "p", "maze": "x", "trial": 0, "raw_response": "r", "reasoning": "t"}, {"provider": "p", "maze": "y", "trial": 0}], "\n{broken\n")
-    log(root / "b", [{"provider": "q", "maze": "x", "trial": 0, "error": "late"}])
+    attempt = lambda maze, **more: {"provider": "p", "maze": maze, "trial": 0, **more}
+    log(root / "a", [attempt("x", raw_response="r", reasoning="t"), attempt("y")], "\n{broken\n")
+    log(root / "b", [attempt("x", error="late")])
     (root / "empty").mkdir()
     got = {r.leg: r for r in archive.build(spark, f"file://{root}", out, "2100-01-01 00:00:00").collect()}
-    assert set(got) == {"a", "b"} and (got["a"].archived, got["a"].malformed, got["a"].traces, got["a"].raw, got["a"].snapshot) == (3, 1, 1, 1, False)
+    assert set(got) == {"a", "b"} and (got["a"].archived, got["a"].malformed, got["a"].traces, got["a"].raw, got["a"].snapshot) == (4, 1, 1, 1, False)
     assert got["b"].note == "all attempts failed in transport" and not got["a"].note
     check = lambda root=None: {tuple(r) for r in archive.verify(spark, out, root).collect()}
-    assert check() == check(f"file://{root}") == set()
-    log(root / "b", [{"provider": "q", "maze": "x", "trial": 0, "error": "late"}, {"provider": "q", "maze": "z", "trial": 0}])
-    assert check(f"file://{root}") == {("b", "log has grown")}
-    live = {r.leg: r.snapshot for r in archive.build(spark, f"file://{root}", out).collect()}
-    assert live == {"a": True, "b": True}
-    log(root / "b", [{"provider": "q", "maze": "x", "trial": 0, "error": "late"}, {"provider": "q", "maze": "z", "trial": 0}, {"provider": "q", "maze": "w", "trial": 0}])
-    assert check(f"file://{root}") == set()
-    log(root / "b", [{"provider": "q", "maze": "w", "trial": 0}])
-    assert check(f"file://{root}") == {("b", "log has lost lines")}
+    live = f"file://{root}"
+    assert check() == check(live) == set()
+    log(root / "b", [attempt("x", error="late"), attempt("z")])
+    log(root / "c", [attempt("new")])
+    assert check(live) == {("b", "log has grown"), ("c", "log has no copy")}
+    (root / "c" / "attempts.jsonl").unlink()
+    assert {r.leg: r.snapshot for r in archive.build(spark, live, out).collect()} == {"a": True, "b": True}
+    three = [attempt("x", error="late"), attempt("z"), attempt("w")]
+    log(root / "b", three)
+    assert check(live) == set()
+    log(root / "b", three[1::-1] + three[2:])
+    assert check(live) == {("b", "log differs from line 1")}
+    log(root / "b", three[1:2])
+    assert check(live) == {("b", "log has lost lines")}
+    (root / "b" / "attempts.jsonl").unlink()
+    assert check(live) == {("b", "log is gone")}
+
+
+def test_nested_runs_of_one_name_are_all_kept(spark, tmp_path):
+    root, out = tmp_path / "all runs", f"file://{tmp_path}/out"
+    legs = {"_root": root, "smoke": root / "smoke", "main/gpt/r1/shard-01": root / "main/gpt/r1/shard-01", "main/kimi+2/r1/shard-01": root / "main/kimi+2/r1/shard-01"}
+    for i, folder in enumerate(legs.values()):
+        log(folder, [{"provider": "p", "maze": f"m{i}", "trial": t} for t in range(i + 1)])
+    live = f"file://{root}"
+    got = {r.leg: r.archived for r in archive.build(spark, live, out).collect()}
+    assert got == {leg: i + 1 for i, leg in enumerate(legs)}
+    copies = archive._copies(spark, out).collect()
+    assert {(r.leg, r.place, json.loads(r.value)["trial"]) for r in copies} == {(leg, t + 1, t) for i, leg in enumerate(legs) for t in range(i + 1)}
+    assert archive.verify(spark, out, live).isEmpty()
+    (root / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        archive.lines(spark, f"file://{root}/none")
+
+
+def test_edits_in_long_logs_are_found_by_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "BLOCK", 10)
+    monkeypatch.setattr("sparkgauge.operators.scan.LARGE", 20)
+    root, out = tmp_path / "runs", f"file://{tmp_path}/out"
+    rows = [{"provider": "p", "maze": "m", "trial": t} for t in range(95)]
+    log(root / "long", rows)
+    log(root / "torn", rows[:3], '{"provider": "p", "ma')
+    live = f"file://{root}"
+    archive.build(spark, live, out)
+    check = lambda: {tuple(r) for r in archive.verify(spark, out, live).collect()}
+    log(root / "long", [*rows, *rows])
+    log(root / "torn", rows[:3], '{"provider": "p", "maze": "z"}\n{}\n')
+    assert check() == set()
+    log(root / "long", [*rows[:57], {"provider": "p", "maze": "edited", "trial": 57}, *rows[58:]])
+    log(root / "torn", rows[:3], '{"another": 1}\n')
+    assert check() == {("long", "log differs from line 51"), ("torn", "log differs from line 1")}
+    log(root / "long", [*rows[:20], rows[21], rows[20], *rows[22:]])
+    log(root / "torn", rows[:3], '{"provider": "p", "ma')
+    assert check() == {("long", "log differs from line 21")}
+
+
+def test_damaged_copies_and_manifests_are_found(spark, tmp_path):
+    root, out = tmp_path / "runs", tmp_path / "out"
+    for leg in "ab":
+        log(root / leg, [{"provider": leg, "maze": "m", "trial": t} for t in range(3)])
+    archive.build(spark, f"file://{root}", f"file://{out}", "2100-01-01 00:00:00")
+    check = lambda: {tuple(r) for r in archive.verify(spark, f"file://{out}").collect()}
+    assert check() == set()
+    (copy,) = (out / "runs/leg=a").glob("part-*")
+    for crc in (out / "runs/leg=a").glob(".*.crc"):
+        crc.unlink()
+    copy.write_bytes(gzip.compress(gzip.decompress(copy.read_bytes()).replace(b"2", b"7")))
+    assert check() == {("a", "copy differs from line 1")}
+    for f in (out / "runs/leg=b").iterdir():
+        f.unlink()
+    assert check() == {("a", "copy differs from line 1"), ("b", "copy is missing")}
 
 
 def test_discovery_and_run_plans(spark, tmp_path):
