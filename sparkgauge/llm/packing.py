@@ -4,9 +4,10 @@ Documents become pieces of at most the capacity, and pieces are packed by bulk-s
 half the capacity open a sequence each. In a superstep all other pieces and the gaps of the open sequences are range-sorted into one
 order of sizes. Every task sweeps its range upwards: a gap is given to the largest piece below it that is still free, so a piece gets the
 smallest gap above it (its successor) that no closer piece wants. What a range leaves, gaps without a piece below and pieces without
-a gap above, is matched across ranges by rank. The gaps are then updated, and so on until every piece has its place. Pieces larger than
-all gaps open new sequences, as many as their volume fills. A gap that holds several of the largest pieces takes part
-as so many slots. The outcome doesn't depend on how the rows are spread.
+a gap above, is matched across ranges by rank. The gaps are then updated, and so on until every piece has its place. Where pieces are larger than
+all gaps, the largest ones take part alone, a band of sizes (BANDS) at a time, and those of them that are larger than all gaps open new
+sequences, as many as their volume fills: smaller pieces come when these are full. A gap that holds several of the largest pieces
+takes part as so many slots. The outcome doesn't depend on how the rows are spread.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .tokens import encoder
 CAPACITY, END_ID = 2048, 0
 #: Pieces and slots that a task sweeps: so many, or more where there would be more ranges than shuffle partitions, up to a bound.
 RANGE_ROWS, MOST_ROWS = 50_000, 1_000_000
+#: A band is this part of the capacity; pieces of up to a quarter of it need no bands.
+BANDS = 42
 PIECES = "doc_id long, row_uid long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -153,13 +156,22 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         used = F.sum(F.when(F.col("kind") == PLACED, F.col("length")).otherwise(0))
         gaps = state.where(F.col("kind") != WAITING).groupBy("seq").agg((F.min("gap") - used).cast("int").alias("gap")).where(F.col("gap") >= left.least)  # others hold no piece any more
         known = gaps.agg(F.count("*").alias("n"), F.coalesce(F.max("gap"), F.lit(0)).alias("most")).head()
-        new = 0
+        above = left.most - max(1, capacity // BANDS) if left.most > max(known.most, capacity // 4) else 0
+        new, n_waiting, n_gaps, rest = 0, left.n, known.n, None
         if left.most > known.most:
-            volume = waiting.where(F.col("length") > known.most).agg(F.sum("length").alias("n")).head().n
-            new = -(-volume // capacity)
-            gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).alias("gap")))
+            band = F.col("length") > above
+            told = waiting.where(band).agg(F.sum(F.when(F.col("length") > known.most, F.col("length"))).alias("volume"), F.count("*").alias("n")).head()
+            new, n_waiting = -(-told.volume // capacity), told.n
+            opening = spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).alias("gap"))
             opened += new
-        state, step = _match(waiting, gaps, left.most, left.n, known.n + new), step + 1
+            if above > 0:
+                none = [F.lit(0).cast(t).alias(c) for c, t in (("row_uid", "long"), ("piece", "int"), ("length", "int"))]
+                idle = gaps.where(F.col("gap") <= above).select(F.lit(FREE).alias("kind"), *none, "seq", "gap")
+                rest = waiting.where(~band).unionByName(idle)
+                gaps, waiting = gaps.where(F.col("gap") > above), waiting.where(band)
+            gaps = gaps.unionByName(opening)
+        state, step = _match(waiting, gaps, left.most, n_waiting, n_gaps + new), step + 1
+        state = state.unionByName(rest) if rest is not None else state
     placed = spark.read.schema(STATE + ", step int").parquet(base).where(F.col("kind") == PLACED).select("row_uid", "piece", "length", "seq", "step")
     before = Window.partitionBy("seq").orderBy("step", F.col("length").desc(), "row_uid", "piece").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select(F.col("row_uid").alias("p_uid"), F.col("piece").alias("p_piece"), F.col("seq").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))

@@ -97,6 +97,25 @@ SIZES = {
 }
 
 
+#: Two or three, or three or four pieces a sequence, where an early choice of partners costs most; for sequences of 2048.
+NARROW = {
+    "halves and quarters": lambda rng: rng.randint(500, 1024),
+    "thirds to fifths": lambda rng: rng.randint(400, 700),
+    "near a quarter": lambda rng: max(1, round(rng.gauss(560, 60))),
+    "wide": lambda rng: rng.randint(300, 900),
+}
+
+
+@pytest.mark.parametrize("kind", NARROW)
+def test_packing_of_narrow_sizes_is_within_a_hundredth(spark, kind):
+    rng = random.Random(24)
+    sizes = [NARROW[kind](rng) for _ in range(5000)]
+    given = P.materialize(spark.createDataFrame([(i, i, 0, 0, n, 0) for i, n in enumerate(sizes)], P.PIECES), "pieces")
+    got = P.best_fit(given).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert sum(r.n for r in got) == sum(sizes) and all(r.n == r.end <= 2048 for r in got)
+    assert len(got) <= 1.01 * best_fit_decreasing(sizes, 2048)
+
+
 @pytest.mark.parametrize("kind", SIZES)
 def test_packing_is_close_to_best_fit_decreasing(spark, kind, monkeypatch):
     rng = random.Random(22)
