@@ -2,8 +2,9 @@
 
 A text that holds a test item with at most k errors holds at least one of any k + 1 pieces of it unchanged. So every
 item is cut into k + 1 pieces, one automaton finds all pieces of all items in a text, and around each hit Myers'
-bit-parallel algorithm computes the edit distance of the whole item to the best place. Letter case and
-white space don't count as errors.
+bit-parallel algorithm computes the edit distance of the whole item to the best place. The pieces needn't cover the item: they
+are cut from stretches that few items share, so a common opening of many questions leads to none of them. Items of one
+text are compared once. Letter case and white space don't count as errors.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,10 @@ from .common import materialize
 
 #: Errors allowed, as a share of an item's characters.
 ERROR_RATE = 0.08
-#: A shorter item matches nothing: such strings occur by chance, and one of a letter would be in every text.
+#: A shorter item allows no error and must stand as whole words: such strings occur by chance within others.
 MIN_CHARS = 20
+#: Stretches of so many characters that more items than this share are common, and a piece has so many characters at least if it is cut around them.
+GRAM, SHARED = 8, 8
 #: Characters of items in one automaton; a larger benchmark takes one pass over the documents for each such block.
 BLOCK_CHARS = 4_000_000
 
@@ -73,22 +77,59 @@ def myers(pattern: dict[str, int], m: int, text: str, most: int) -> tuple[int, i
     return best if best[1] >= 0 else None
 
 
+def common_places(texts: list[str]) -> list[np.ndarray]:
+    """For each text, which characters begin a stretch of GRAM characters that more than SHARED of the texts hold."""
+    sizes = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    hashed = np.zeros(max(0, len(codes) - GRAM + 1), np.uint64)
+    for j in range(GRAM if len(hashed) else 0):
+        hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(hashed)] + np.uint64(1)
+    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(texts)), sizes)
+    inside = np.arange(len(hashed)) + GRAM <= np.repeat(starts + sizes, sizes)[: len(hashed)]
+    held, where = hashed[inside], np.flatnonzero(inside)
+    _, number = np.unique(held, return_inverse=True)
+    order = np.lexsort((owner[where], number))
+    fresh = np.concatenate([[True], (np.diff(number[order]) != 0) | (np.diff(owner[where][order]) != 0)]) if len(order) else np.zeros(0, bool)
+    often = np.bincount(number[order][fresh]) > SHARED if len(order) else np.zeros(0, bool)
+    marked = np.zeros(len(codes), bool)
+    marked[where] = often[number] if len(order) else False
+    return [marked[a : a + n] for a, n in zip(starts, sizes, strict=True)]
+
+
+def pieces_of(m: int, k: int, common: np.ndarray) -> list[tuple[int, int]]:
+    """k + 1 disjoint (start, end) of an item of m characters, between its common stretches if they leave room for pieces of GRAM characters, else even ones over all of it."""
+    covered = np.zeros(m + 1, bool)
+    for a in np.flatnonzero(common):
+        covered[a : a + GRAM] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], covered[:m], [True]]).astype(int)))
+    runs = [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= GRAM]
+    room = sum(b - a for a, b in runs)
+    if not covered.any() or sum((b - a) // GRAM for a, b in runs) < k + 1:
+        return [(m * p // (k + 1), m * (p + 1) // (k + 1)) for p in range(k + 1)]
+    shares = [min((b - a) // GRAM, (k + 1) * (b - a) // room) for a, b in runs]
+    while sum(shares) < k + 1:  # the rest to where pieces are longest
+        best = max((i for i, (a, b) in enumerate(runs) if (b - a) // GRAM > shares[i]), key=lambda i: (runs[i][1] - runs[i][0]) / (shares[i] + 1))
+        shares[best] += 1
+    return [(a + (b - a) * p // n, a + (b - a) * (p + 1) // n) for (a, b), n in zip(runs, shares, strict=True) for p in range(n)]
+
+
 class Matcher:
     """Finds all items of a block in a text."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
         import ahocorasick
 
+        by_text: dict[str, list[int]] = {}
+        for item_id, text in items:
+            if norm := normalise(text):
+                by_text.setdefault(norm, []).append(item_id)
         self.items = []
         pieces: dict[str, list[tuple[int, int]]] = {}
-        for item_id, text in items:
-            if len(norm := normalise(text)) < MIN_CHARS:
-                continue
-            m, k = len(norm), int(rate * len(norm))
-            for p in range(k + 1):
-                a, b = m * p // (k + 1), m * (p + 1) // (k + 1)
+        for (norm, ids), common in zip(by_text.items(), common_places(list(by_text)), strict=True):
+            m, k = len(norm), int(rate * len(norm)) if len(norm) >= MIN_CHARS else 0
+            for a, b in pieces_of(m, k, common) if m >= MIN_CHARS else [(0, m)]:
                 pieces.setdefault(norm[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, m, k, masks(norm), masks(norm[::-1])))
+            self.items.append((ids, m, k, masks(norm), masks(norm[::-1])))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in pieces.items():
             self.automaton.add_word(piece, (len(piece), uses))
@@ -106,7 +147,13 @@ class Matcher:
                 begins.setdefault(item, []).append(at - n + 1 - offset)
         found = []
         for item, starts in begins.items():
-            item_id, m, k, ahead, back = self.items[item]
+            ids, m, k, ahead, back = self.items[item]
+            if m < MIN_CHARS:
+                end = 0
+                for s in starts:
+                    if s >= end and not norm[s - 1 : s].isalnum() and not norm[s + m : s + m + 1].isalnum():
+                        found, end = [*found, *((i, s, s + m, 0) for i in ids)], s + m
+                continue
             for low, high in self._windows(sorted(starts), m, k, len(norm)):
                 parts = [(low, high)]
                 while parts:
@@ -117,7 +164,7 @@ class Matcher:
                     begin = max(low, end - m - k)
                     reach = myers(back, m, norm[begin:end][::-1], k)
                     start = end - (reach[1] if reach else min(m, end - begin))
-                    found.append((item_id, start, end, hit[0]))
+                    found += [(i, start, end, hit[0]) for i in ids]
                     parts += [(low, start), (end, high)]
         if not found:
             return []
@@ -167,8 +214,8 @@ def _finder(block: list[tuple[int, str]], rate: float):
 def with_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, into: str = "leaks") -> DataFrame:
     """docs with a column of leaks: an array of (item_id, start, end, distance), empty where a text holds no item.
 
-    Every row stays, repeated ones too. Null and empty texts have no leaks; null and blank items, and those of
-    fewer than MIN_CHARS characters (white space as one space), match nothing. Items of equal text match each. Matches of one item
+    Every row stays, repeated ones too. Null and empty texts have no leaks; null and blank items match nothing, and those of
+    fewer than MIN_CHARS characters (white space as one space) whole words without an error. Items of equal text match each. Matches of one item
     don't overlap: the best of a stretch counts, the first of equals, and then what is left before and after it. A benchmark of several blocks takes a pass each,
     written out in between, so the driver never holds more than one block.
     """

@@ -1,6 +1,7 @@
 """Exact deduplication against a persistent digest index, in DataFrame operations only.
 
-The index is a Spark table bucketed and sorted by SHA-256 of the normalised text. A batch is
+The index is a Spark table bucketed and sorted by SHA-256 of the normalised text. Its files lie in a folder of their own that all
+executors share, and its name tells their buckets, so a later session opens them without the first one's catalog. A batch is
 reduced to one row per digest, joined to the index bucket by bucket (sort-merge, and the index side needs no
 exchange), and the digests that are new are appended, clustered by bucket, so a batch adds one file to each. Spark trusts a
 bucket's order only where the bucket is one file: with several batches it sorts each bucket again when it is read.
@@ -9,12 +10,13 @@ compact() makes the buckets one sorted file each.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, lookup, materialize
+from .common import keep_rows, lookup, materialize, shared_dir
 
 
 def normalise(text: Column) -> Column:
@@ -30,37 +32,77 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """A table (text_sha256, keep_id) with one row per text that was ever kept.
 
-    ``add`` is idempotent: a batch that is added twice, or again after a failure, decides alike,
-    since a document whose own id the index holds stays.
+    The files of a generation lie in ``path/<number>-<buckets>-<type of ids>``; compact() starts the next. Opening a path that
+    has a generation goes on with it, whatever session wrote it. ``add`` is idempotent: a batch that is added twice, or again
+    after a failure, decides alike, since a document whose own id the index holds stays. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
-        self.spark, self.table, self.buckets = spark, table, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.number, self.table = 0, None
+        for name in sorted(self._generations()):
+            number, n, kind = name.split("-", 2)
+            self.buckets, self.number = int(n), int(number)
+            self._register(kind)
 
     @classmethod
     def fresh(cls, spark: SparkSession, buckets: int | None = None) -> DigestIndex:
-        """An empty index under a new name; buckets follow the session's shuffle partitions by default."""
-        n = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        return cls(spark, f"digest_index_{uuid.uuid4().hex}", n)
+        """An empty index in a new folder of the scratch folder."""
+        return cls(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}", buckets)
+
+    def _folder(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _generations(self) -> list[str]:
+        """Names of the generations that were written to the end."""
+        fs, path = self._folder()
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return [n for n in names if re.fullmatch(r"\d{6}-\d+-\w+", n) and fs.exists(self._below(path, f"{n}/_SUCCESS"))]
+
+    def _below(self, path, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name)
+
+    def _register(self, kind: str) -> None:
+        """A table of this session's catalog over the files of the generation; bucket numbers are in the files' names."""
+        self.table, place = f"digest_index_{uuid.uuid4().hex}", f"{self.path}/{self.number:06}-{self.buckets}-{kind}"
+        self.spark.sql(f"CREATE TABLE {self.table} (text_sha256 STRING, keep_id {kind}) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{place}'")
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+        return self.table is not None
+
+    def close(self) -> None:
+        """Take the table out of the catalog; its files stay."""
+        if self.exists():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+            self.table = None
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        """Delete the index."""
+        self.close()
+        fs, path = self._folder()
+        fs.delete(path, True)
 
-    def _append(self, rows: DataFrame, table: str | None = None) -> None:
+    def _append(self, rows: DataFrame) -> None:
         """Append rows, each bucket by the one task that has all of it: one more file, sorted, for each bucket."""
+        if not self.exists():
+            self.number += 1
+            self._register(rows.schema["keep_id"].dataType.simpleString())
         writer = rows.repartition(self.buckets, "text_sha256").write.mode("append").format("parquet")
-        writer.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(table or self.table)
+        writer.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.table)
 
     def compact(self) -> None:
-        """Write the index anew under another name, one sorted file to a bucket, and drop the old table. An index that doesn't exist stays so."""
+        """Write the index anew as the next generation, one sorted file to a bucket, and delete the old one. An index that doesn't exist stays so."""
         if self.exists():
-            old, self.table = self.table, f"digest_index_{uuid.uuid4().hex}"
+            old, self.table = self.table, None
             # a new expression, as Spark would take the old table's buckets for clustered and then read them in any order
             self._append(self.spark.table(old).withColumn("text_sha256", F.substring("text_sha256", 1, 64)))
             self.spark.sql(f"DROP TABLE {old}")
+            fs, path = self._folder()
+            for name in self._generations():
+                if int(name[:6]) < self.number:
+                    fs.delete(self._below(path, name), True)
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Decide on a batch and append its new digests.

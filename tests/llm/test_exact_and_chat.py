@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -52,6 +55,35 @@ def test_index_persists_and_adding_again_changes_nothing(spark):
     index.drop()
 
 
+def test_index_is_opened_by_another_session(spark, tmp_path):
+    """Another process adds to the index that this one has written, and this one reads on; each has a catalog of its own."""
+    path = f"file://{tmp_path}/index"
+    ours = E.DigestIndex(spark, path, 4)
+    ours.add(docs(spark, [(10, "a"), (11, "b")])).count()
+    ours.close()
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(E.__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+from sparkgauge.llm import exact_dedup as E
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").config("spark.sql.warehouse.dir", {str(tmp_path / "own")!r}).getOrCreate()
+index = E.DigestIndex(spark, {path!r})
+assert index.exists() and index.buckets == 4
+rows = spark.createDataFrame([(1, "a"), (2, "c"), (3, "a")], "doc_id long, text string")
+print("FOUND", sorted((r.doc_id, r.keep_id, r.kept) for r in index.add(rows).collect()))
+index.compact()
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert "FOUND [(1, 10, False), (2, 2, True), (3, 10, False)]" in said.stdout, said.stderr[-2000:]
+    index = E.DigestIndex(spark, path)
+    assert index.buckets == 4 and {(r.keep_id) for r in spark.table(index.table).collect()} == {10, 11, 2}
+    plan = docs(spark, [(1, "x")]).select(E.digest(F.col("text")).alias("text_sha256")).join(spark.table(index.table).hint("merge"), "text_sha256")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # of the batch only
+    assert sorted(r.keep_id for r in index.add(docs(spark, [(50, "c"), (51, "d")])).collect()) == [2, 51]
+    index.drop()
+    assert not (tmp_path / "index").exists() and not E.DigestIndex(spark, path).exists()
+
+
 def test_batches_decide_like_one(spark):
     rows = [(i, f"t{i % 7}") for i in range(60)] + [(None, "t1"), (None, "only"), (3, "t3"), (70, None), (2, "")]
     plain = lambda df: sorted(map(repr, df.drop("row_uid").collect()))
