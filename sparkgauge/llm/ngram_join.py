@@ -204,10 +204,11 @@ def _in_blocks(rows: DataFrame, threshold: float, block: int, load: int | None =
     counts = materialize(big.groupBy("group", "size_band").agg(F.count("*").alias("n"), F.sum("size").alias("total")).withColumn("n_blocks", F.least(parts, F.col("n")).cast("long")).drop("total"), "size-bands")
     number = lambda block: F.col("size_band") * 2**32 + block
     dealt = lookup(big, counts, ["group", "size_band"], "n").select("group", "node", number(F.pmod(F.xxhash64("node"), F.col("n_blocks"))).alias("block"))
-    edges = counts.select("group", "size_band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("at")).select("group", "size_band", number(F.col("at")).alias("block"))
-    x, y = edges.withColumnRenamed("block", "left"), edges.withColumnRenamed("block", "right")
-    near = x.join(y, ["group", "size_band"]).where(F.col("left") <= F.col("right"))
-    pairs = materialize(near.unionByName(x.join(y.withColumn("size_band", F.col("size_band") - 1), ["group", "size_band"])).drop("size_band"), "block-pairs")
+    above = counts.select("group", (F.col("size_band") - 1).alias("size_band"), F.col("n_blocks").alias("n_next"))
+    edges = counts.join(above, ["group", "size_band"], "left").select("group", "size_band", "n_blocks", "n_next", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("at")).repartition("group", "size_band", "at")
+    own = F.transform(F.sequence(F.col("at"), F.col("n_blocks") - 1), number)  # each block lists its partners, so those of a large group are written by many tasks
+    following = F.when(F.col("n_next").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("n_next", F.lit(1)) - 1), lambda j: number(j) + 2**32)).otherwise(F.array().cast("array<long>"))
+    pairs = materialize(edges.select("group", number(F.col("at")).cast("long").alias("left"), F.explode(F.concat(own.cast("array<long>"), following.cast("array<long>"))).alias("right")), "block-pairs")
     sides = pairs.select("group", "left", "right", F.col("left").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where(F.col("left") < F.col("right")).select("group", "left", "right", F.col("right").alias("block"), F.lit(1).alias("side")))
     return small.unionByName(dealt.join(sides, ["group", "block"]).select("group", "left", "right", "side", "node"))
 
