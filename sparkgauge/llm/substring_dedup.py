@@ -134,16 +134,16 @@ def _emit(min_words: int):
     return run
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, uid: str | None = None) -> DataFrame:
     """The units to remove: doc_id, row_uid, level, start, end, words, keep_doc_id, keep_start, copies.
 
     A line of one sentence and that sentence within a longer line are the same unit. Occurrences rank by doc_id (null last), then row, then place; the first stays, also among repeats within a
     document and among rows with one doc_id. copies counts all occurrences. Offsets are code points of the original
     text, end exclusive. Null and empty texts have no units; other columns are ignored; an empty table gives no rows.
-    row_uid is docs' own if it has that column, else a number of this run.
+    row_uid is what docs has in the column uid, a number of each row, or else a number of this run; other columns of docs aren't read, whatever their names.
     """
-    uid = F.col("row_uid") if "row_uid" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(F.col("doc_id").cast("long"), uid.alias("row_uid"), F.col("text").cast("string"))
+    number = F.col(uid) if uid else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long"), number.alias("row_uid"), F.col("text").cast("string"))
     found = materialize(rows.mapInArrow(_emit(min_words), UNITS), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_uid", "start")
     groups = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
@@ -324,7 +324,7 @@ def _widened(spans: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
     return materialize(one.select("*", "keep.keep_doc_id", "keep.keep_start").drop("keep"), "wide-spans")
 
 
-def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, anchor: int = ANCHOR_WORDS, uid: str | None = None) -> DataFrame:
     """The runs of words that an earlier place holds too, in the columns of repeated_units; level is passage.
 
     Rank and offsets are those of repeated_units. Every repeated run of size words or more is found, with all words on which it agrees
@@ -334,8 +334,8 @@ def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, anchor: int =
     the first anchor words stay; runs with an earlier place in their own text are not widened. Later rows of equal text are passages as a whole.
     Null, empty and shorter texts have none; an empty table gives no rows.
     """
-    uid = F.col("row_uid") if "row_uid" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(F.col("doc_id").cast("long"), uid.alias("row_uid"), F.col("text").cast("string")).where(F.length("text") >= size)
+    number = F.col(uid) if uid else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long"), number.alias("row_uid"), F.col("text").cast("string")).where(F.length("text") >= size)
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     rows = rows.withColumn("body", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     texts = materialize(rows.mapInArrow(_anchors(size, anchor), "doc_id long, row_uid long, body binary, start int, end int, words int, anchors array<long>"), "texts")
@@ -385,20 +385,21 @@ def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, anchor: int =
     return copies.unionByName(wide.select(copies.columns))
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Repeated units and repeated passages of docs, which has row_uid or is numbered here. See repeated_units and repeated_passages."""
-    kept = docs if "row_uid" in docs.columns else docs.withColumn("row_uid", F.monotonically_increasing_id())
-    passages = repeated_passages(kept)
-    return repeated_units(kept, min_words).unionByName(passages)
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, uid: str | None = None) -> DataFrame:
+    """Repeated units and repeated passages of docs, whose rows the column uid numbers, or which are numbered here. See repeated_units and repeated_passages."""
+    kept, uid = (docs, uid) if uid else (docs.withColumn("__uid", F.monotonically_increasing_id()), "__uid")
+    passages = repeated_passages(kept, uid=uid)
+    return repeated_units(kept, min_words, uid).unionByName(passages)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text freed of repeated units and passages, and removed: the spans taken out, merged, as offsets in the original.
 
-    Every row stays. White space around a removed unit stays as well; a null text stays null.
+    Every row stays, with its own columns, of which only one named removed is replaced. White space around a removed unit stays as well;
+    a null text stays null.
     """
-    kept = materialize(docs.withColumn("row_uid", F.monotonically_increasing_id()), "documents")
-    spans = repeats(kept, min_words).groupBy("row_uid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    kept = materialize(docs.withColumn("__uid", F.monotonically_increasing_id()), "documents")
+    spans = repeats(kept, min_words, "__uid").groupBy(F.col("row_uid").alias("__row")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
 
     @F.pandas_udf("struct<text:string,removed:array<struct<start:int,end:int>>>")
     def strip(text, spans):
@@ -416,5 +417,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out.append((None if t is None else "".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), merged))
         return pd.DataFrame({"text": [t for t, _ in out], "removed": [[{"start": a, "end": b} for a, b in m] for _, m in out]})
 
-    joined = kept.join(spans, "row_uid", "left").withColumn("__new", strip("text", "spans"))
-    return joined.select(*[F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__new.removed").alias("removed"))
+    joined = kept.join(spans, F.col("__uid") == F.col("__row"), "left").withColumn("__new", strip("text", "__spans"))
+    return joined.select(*[F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "removed"], F.col("__new.removed").alias("removed"))

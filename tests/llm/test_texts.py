@@ -318,7 +318,7 @@ def test_passages_match_all_windows(spark):
     for i, t in rows:
         by_doc.setdefault(i, []).append(t)
     spans = []
-    for r in R.repeated_passages(given.repartition(5)).collect():
+    for r in R.repeated_passages(given.repartition(5), uid="row_uid").collect():
         text = rows[r.row_uid][1]
         places = [m.span() for m in re.finditer(r"\S+", text)]
         inside = [n for n, (a, b) in enumerate(places) if r.start <= a and b <= r.end]
@@ -702,6 +702,18 @@ def test_overlapping_windows_match_the_full_edit_table():
         assert got == all_places(item, text, int(D.ERROR_RATE * len(item))), (item, text)
 
 
+def test_repeats_of_rows_with_clashing_columns(spark):
+    line = words(random.Random(3), 40) + "."
+    rows = [(1, line, 7, "a", "b", "c", 1), (2, line, 7, "d", "e", "f", 2), (1, line, 7, "a", "b", "c", 1), (3, "short", 8, "g", "h", "i", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_uid long, spans string, removed string, level string, start int")
+    plainly = sorted(map(tuple, R.repeats(docs.select("doc_id", "text")).drop("row_uid").collect()))
+    assert sorted(map(tuple, R.repeats(docs).drop("row_uid").collect())) == plainly and plainly
+    clean = R.remove_repeats(docs)
+    assert clean.columns == ["doc_id", "text", "row_uid", "spans", "level", "start", "removed"]
+    got = sorted((r.doc_id, r.text, r.row_uid, r.spans, len(r.removed)) for r in clean.collect())
+    assert got == [(1, "", 7, "a", 1), (1, line, 7, "a", 0), (2, "", 7, "d", 1), (3, "short", 8, "g", 0)]
+
+
 def test_short_items_match_as_whole_words():
     found = D.Matcher([(1, "tiny"), (2, " x y z "), (3, ""), (4, "Tiny"), (5, "??")]).find("Tiny, x  y z! tinyx xtiny (TINY) ??")
     assert found == [(1, 0, 4, 0), (4, 0, 4, 0), (2, 6, 12, 0), (1, 27, 31, 0), (4, 27, 31, 0), (5, 33, 35, 0)]
