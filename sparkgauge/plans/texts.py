@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import session
 from ..functions import text as T
 from .registry import query
 from .shapes import SQL_TURNS, outside_flags
@@ -229,3 +230,19 @@ def num_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("task_id"), hot("PROMO").alias("promo"), hot("SMALL").alias("small"))
 
 
+@query("""SELECT l_suppkey % 7 AS provider, l_partkey % 100 AS task_id, count(*) AS n, count(*) FILTER (l_linestatus = 'F' AND l_returnflag = 'R') AS c,
+    round(CASE WHEN n - c < 8 THEN 1 ELSE 1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(0, 8), lambda i: (n - c - i)::DOUBLE / (n - i))), lambda a, b: a * b) END, 6) AS pass8,
+    (l_suppkey % 7)::VARCHAR || '/' || (l_partkey % 100)::VARCHAR || '/0' AS key FROM lineitem GROUP BY ALL HAVING n >= 8""")
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """A SQL text that calls the registered functions over all attempts."""
+    session.register(spark)
+    return spark.sql("""SELECT provider, task_id, n, c, round(pass_at_k(n, c, 8), 6) AS pass8, composite_key(CAST(provider AS STRING), CAST(task_id AS STRING), NULL) AS key
+        FROM (SELECT l_suppkey % 7 AS provider, l_partkey % 100 AS task_id, count(*) AS n, count_if(l_linestatus = 'F' AND l_returnflag = 'R') AS c FROM {lines} GROUP BY ALL) WHERE n >= 8""", lines=table(spark, sf, "lineitem"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def sql_tool_call(spark: SparkSession, sf: str) -> DataFrame:
+    """Tool arguments of all events by the registered SQL function, in their three forms."""
+    session.register(spark)
+    return spark.sql("""SELECT event_id, CAST(get_json_object(json_tool_call(IF(event_id % 3 = 0, '{{"arguments": ' || props || '}}', NULL), IF(event_id % 3 = 1, 'I move. <call>' || props || '</call> done', NULL),
+        IF(event_id % 3 = 2, '[{{"type": "text", "input": null}}, {{"type": "tool_use", "input": ' || props || '}}]', NULL)), '$.k') AS BIGINT) AS k FROM {events}""", events=table(spark, sf, "events"))

@@ -38,10 +38,6 @@ def census(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count_if(ok).alias("rows"), F.count_if(~ok).alias("malformed"), F.count_if(ok & (F.coalesce("error", F.lit("")) != "")).alias("errors"), has("reasoning").alias("traces"), has("evaluation").alias("evaluated"), F.sort_array(F.collect_set("provider")).alias("providers"))
 
 
-#: A model's answer, whatever its vendor calls the parts.
-RESPONSE = T.StructType().add("tool_arguments", "string").add("error", "string").add("latency_s", "double").add("usage", T.MapType(T.StringType(), T.DoubleType())).add("response_id", "string").add("model", "string").add("raw", "string").add("reasoning", "string").add("tool_call_id", "string")
-
-
 def discover(spark: SparkSession, paths: list[str], name: str = "attempts.jsonl") -> list[str]:
     """Files that paths (files, folders or patterns) lead to, sorted: a folder stands for its file of that name, what is missing is dropped. None at all raises."""
     jvm, found = spark.sparkContext._jvm, set()
