@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkgauge.operators import spatial
 from sparkgauge.operators.spatial import near_counts, near_pairs
 
 
@@ -68,3 +69,25 @@ def test_nulls_repeated_keys_and_empty_tables(spark):
     df = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 1, 0.0, 0.0), ("a", None, 0.0, 0.0), ("a", 2, None, 0.0), (None, 3, 0.0, 0.0), (None, 4, 0.0, 0.0), ("b", 5, 0.0, 0.0)], schema)
     assert near_pairs(df, ["g"], "id", ["x", "y", "x", "y"], 1.0).collect() == []
     assert near_pairs(df.limit(0), ["g"], "id", ["x", "y", "x", "y"], 1.0).collect() == []
+
+
+@pytest.mark.parametrize(("seed", "n", "wide", "least"), [(1, 250, 40, 16), (2, 200, 0.4, 8), (3, 150, 5000, 4), (4, 60, 5, 1024)])
+def test_tallies_are_those_of_all_pairs(spark, monkeypatch, seed, n, wide, least):
+    """With copies and points among the segments, in several blocks and tiles; long segments are not dealt to every cell of their boxes."""
+    monkeypatch.setattr(spatial, "BLOCK_LEAST", least)
+    monkeypatch.setattr(spatial, "TILE", (8, 16))
+    rows, reach = scattered(seed, n, wide), 1.5
+    rows += [(g, n + i, e) for g, i, e in rows[:40]] + [("b", 2 * n + i, rows[0][2]) for i in range(5)]
+    ends = ["x0", "y0", "x1", "y1"]
+    df = spark.createDataFrame([(g, *map(float, e)) for g, _, e in rows] + [(None, 0.0, 0.0, 0.0, 0.0), ("a", None, 0.0, 0.0, 0.0)], "g string, x0 double, y0 double, x1 double, y1 double")
+    got = spatial.near_tallies(df, ["g"], ends, reach).collect()
+    assert len(got) == len({(g, e) for g, _, e in rows}) and sum(r.copies for r in got) == len(rows)
+    for r in got:
+        d = [squared((r.x0, r.y0, r.x1, r.y1), e) for g, _, e in rows if g == r.g]
+        above = [x for x in d if 0 < x < reach * reach]
+        assert (r.near, r.touched) == (sum(x < reach * reach for x in d), d.count(0.0))
+        assert r.nearest is None if not above else math.isclose(r.nearest, min(above), abs_tol=1e-9)
+
+
+def test_tallies_of_an_empty_table(spark):
+    assert spatial.near_tallies(spark.createDataFrame([], "g long, x double, y double, u double, v double"), ["g"], ["x", "y", "u", "v"], 1.0).collect() == []
