@@ -48,8 +48,7 @@ def length(points: Column) -> Column:
 
 def cumulative(points: Column) -> Column:
     """Arclength at every point, from 0. Quadratic in the points, of which a submission has at most 512."""
-    lengths = segments(points)
-    return F.transform(points, lambda p, i: total(F.slice(lengths, 1, i)))
+    return once(segments(points), lambda lengths: F.transform(points, lambda p, i: total(F.slice(lengths, 1, i))))
 
 
 def densify(points: Column, spacing: float) -> Column:
@@ -125,15 +124,27 @@ def revisit(points: Column, gap: int = 8, near: float = 12.0, most: int = 200) -
 
 
 def walk(points: Column, fraction: float) -> Column:
-    """The part of a polyline up to a fraction of its length, the last point interpolated."""
-    at = cumulative(points)
-    goal = F.element_at(at, -1) * fraction
-    kept = F.filter(points, lambda p, i: F.get(at, i) <= goal)
-    k = F.size(kept)
-    a, b, la, lb = F.get(points, k - 1), F.get(points, k), F.get(at, k - 1), F.get(at, k)
-    t = F.try_divide(goal - la, lb - la)
-    end = F.array(point(a["x"] + (b["x"] - a["x"]) * t, a["y"] + (b["y"] - a["y"]) * t))
-    return F.when((k < F.size(points)) & (goal > la), F.concat(kept, end)).otherwise(kept)
+    """The part of a polyline up to a fraction of its length, the last point interpolated. Linear in the points: the lengths are made once and folded once."""
+    def upto(lengths: Column) -> Column:
+        goal = F.aggregate(lengths, F.lit(0.0), lambda a, v: a + v) * fraction
+        start = F.struct(F.lit(0.0).alias("at"), F.lit(0).alias("k"), F.lit(0.0).alias("la"), F.lit(None).cast("double").alias("lb"))
+
+        def step(s: Column, v: Column) -> Column:
+            """k: segments whose end is kept; la and lb: arclength at the last point that is kept and at the next one."""
+            to = s["at"] + v
+            kept, on = to <= goal, s["lb"].isNull()
+            return F.struct(to.alias("at"), (s["k"] + F.when(on & kept, 1).otherwise(0)).alias("k"), F.when(on & kept, to).otherwise(s["la"]).alias("la"), F.when(on & ~kept, to).otherwise(s["lb"]).alias("lb"))
+
+        return F.struct(goal.alias("goal"), F.aggregate(lengths, start, step).alias("s"))
+
+    def cut(found: Column) -> Column:
+        goal, s = found["goal"], found["s"]
+        kept = F.slice(points, 1, s["k"] + 1)
+        a, b, t = F.get(points, s["k"]), F.get(points, s["k"] + 1), F.try_divide(goal - s["la"], s["lb"] - s["la"])
+        end = F.array(point(a["x"] + (b["x"] - a["x"]) * t, a["y"] + (b["y"] - a["y"]) * t))
+        return F.when(s["lb"].isNotNull() & (goal > s["la"]), F.concat(kept, end)).otherwise(kept)
+
+    return once(once(segments(points), upto), cut)
 
 
 def bezier(p0: Column, c: Column, p1: Column, n: int = 24) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -49,6 +50,26 @@ def test_turns_variation_walk_downsample(spark):
     assert one(spark, F.size(G.disk(3))) == len(R.disk(3)) == 29
 
 
+def test_walk_makes_lengths_once_and_agrees_with_a_loop(spark):
+    """The lengths stand in the expression a single time, outside of any lambda over points, so time is linear in the points."""
+    rng = random.Random(5)
+    bends = [[(rng.randrange(9), rng.randrange(9)) for _ in range(n)] for n in (1, 2, 3, 40, 400)] + [[(3, 3)] * 4, [(0, 0), (0, 0), (4, 0), (4, 0)]]
+    df = spark.createDataFrame([(i, [(float(x), float(y)) for x, y in b]) for i, b in enumerate(bends)], "i int, pts array<struct<x: double, y: double>>")
+    for share in (0.0, 0.3, 0.5, 1.0):
+        walked = df.select("i", G.walk(F.col("pts"), share).alias("w"))
+        assert walked._jdf.queryExecution().analyzed().toString().lower().count("hypot") == 1
+        for r in walked.collect():
+            pts = bends[r.i]
+            at = [0.0]
+            for a, b in zip(pts, pts[1:]):
+                at.append(at[-1] + math.hypot(b[0] - a[0], b[1] - a[1]))
+            want = [p for p, d in zip(pts, at) if d <= at[-1] * share]
+            if (k := len(want)) < len(pts) and at[-1] * share > at[k - 1]:
+                t = (at[-1] * share - at[k - 1]) / (at[k] - at[k - 1])
+                want.append(tuple(u + (v - u) * t for u, v in zip(pts[k - 1], pts[k])))
+            assert [c for p in r.w for c in (p.x, p.y)] == pytest.approx([c for p in want for c in p])
+
+
 U = R.draw(200, 200, [([(20, 20), (20, 180), (180, 180), (180, 20)], 15)])
 ROUTE = [(20, 20), (20, 180), (180, 180), (180, 20)]
 score = lambda pts, mask=U: R.evaluate(pts, mask, (20, 20), (180, 20), 10, 10, reference=480)
