@@ -8,6 +8,7 @@ waiting turns an episode, and goes when the episode ends, but for a mark that ke
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,8 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 LIMIT = 6
 TURNS = "episode bigint, turn int, ts timestamp, error boolean, success boolean, shown boolean, progress bigint"
 ENDED = "episode bigint, turns bigint, solved boolean, first_success bigint, progress string, stop_reason string"
-STATE = "next int, turns int, progress string, due bigint, over boolean"
-WAITING = "error boolean, success boolean, shown boolean, progress bigint"
+#: waiting: turns that came early as JSON, [turn, error, success, shown, progress] each, at most LIMIT of them.
+STATE = "next int, turns int, progress string, due bigint, over boolean, waiting string"
 
 
 def reason(turn: int, error: bool, success: bool, shown: bool, limit: int) -> str | None:
@@ -29,7 +30,11 @@ def reason(turn: int, error: bool, success: bool, shown: bool, limit: int) -> st
 
 
 class Episodes(StatefulProcessor):
-    """The state machine of one episode; see the module's text."""
+    """The state machine of one episode; see the module's text.
+
+    Every call of a state or timer is a trip to the JVM and back, so a batch of an episode makes four at most: its state is one
+    value, read once and written once, and its timer is known from it and set only where it changes.
+    """
 
     def __init__(self, limit: int, patience_ms: int):
         self.limit, self.patience = limit, patience_ms
@@ -37,46 +42,43 @@ class Episodes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("episode", STATE)
-        self.waiting = handle.getMapState("waiting", "turn int", WAITING)
 
     def _ended(self, key: int, turns: int, progress: str, turn: int | None, why: str) -> pd.DataFrame:
-        self.waiting.clear()
         solved = why == "success"
-        row = pd.DataFrame({"episode": [key], "turns": [turns], "solved": [solved], "first_success": pd.array([turn if solved else None], "Int64"), "progress": [progress], "stop_reason": [why]})
-        return row
-
-    def _forget_timers(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        return pd.DataFrame({"episode": [key], "turns": [turns], "solved": [solved], "first_success": pd.array([turn if solved else None], "Int64"), "progress": [progress], "stop_reason": [why]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, turns, progress, due, over = self.state.get() if self.state.exists() else (0, 0, "", 0, False)
+        at, turns, progress, timer, over, early = self.state.get() or (0, 0, "", 0, False, "[]")
         if over:
             return
+        due, waiting = timer, {t: rest for t, *rest in json.loads(early)}
         for frame in rows:
             due = max(due, int(frame["ts"].max().timestamp() * 1000) + self.patience)
-            for r in frame.sort_values(["turn", "ts"]).itertuples():
-                if at <= r.turn < self.limit and not self.waiting.containsKey((int(r.turn),)):
-                    self.waiting.updateValue((int(r.turn),), (bool(r.error), bool(r.success), bool(r.shown), int(r.progress)))
-        while self.waiting.containsKey((at,)):
-            error, success, shown, far = self.waiting.getValue((at,))
-            self.waiting.removeKey((at,))
+            named = zip(*(frame[c].tolist() for c in ("turn", "ts", "error", "success", "shown", "progress")), strict=True)
+            for turn, _, error, success, shown, far in sorted(named, key=lambda r: r[:2]):
+                if at <= turn < self.limit:
+                    waiting.setdefault(int(turn), [bool(error), bool(success), bool(shown), int(far)])
+        while at in waiting:
+            error, success, shown, far = waiting.pop(at)
             if not error:
                 turns, progress = turns + 1, f"{progress},{far}" if turns else str(far)
             if why := reason(at, error, success, shown, self.limit):
-                self._forget_timers()
-                self.state.update((at, turns, progress, due, True))
+                if timer:
+                    self.handle.deleteTimer(timer)
+                self.state.update((at, turns, progress, 0, True, "[]"))
                 yield self._ended(key[0], turns, progress, at, why)
                 return
             at += 1
-        self._forget_timers()
-        self.handle.registerTimer(due)
-        self.state.update((at, turns, progress, due, False))
+        if due != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.state.update((at, turns, progress, due, False, json.dumps([[t, *rest] for t, rest in waiting.items()])))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, turns, progress, due, over = self.state.get()
+        at, turns, progress, _, over, _ = self.state.get()
         if not over:
-            self.state.update((at, turns, progress, due, True))
+            self.state.update((at, turns, progress, 0, True, "[]"))
             yield self._ended(key[0], turns, progress, None, "abandoned")
 
     def close(self) -> None:

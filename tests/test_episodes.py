@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,47 @@ def test_restart_in_the_middle_gives_what_the_table_gives(spark, turns, tmp_path
 def test_no_rows(spark):
     assert E.ended(spark.createDataFrame([], E.TURNS)).collect() == []
     assert E.ended(spark.createDataFrame([(None, 0, START, False, True, True, 1)], E.TURNS)).where(F.col("turns") > 0).collect() == []
+
+
+class Calls:
+    """Stands for a handle, its states and timers, and counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "get":
+                return self.value
+            if name == "update":
+                self.value = args[0]
+            elif name == "registerTimer":
+                self.timers.add(args[0])
+            elif name == "deleteTimer":
+                self.timers.remove(args[0])
+            else:
+                raise AssertionError(name)
+
+        return call
+
+
+def test_few_calls_of_state_per_batch(turns):
+    """However many turns a batch has and however many wait, an episode makes four calls at most, and one timer is left where it goes on."""
+    columns = ["episode", "turn", "ts", "error", "success", "shown", "progress"]
+    want = plain(turns)
+    for e in range(60):
+        mine, handle, told = [r for r in turns if r[0] == e], Calls(), []
+        machine = E.Episodes(E.LIMIT, 1000)
+        machine.handle = machine.state = handle
+        for batch in (mine[1::2], mine[::2]):
+            handle.calls = 0
+            frame = pd.DataFrame(batch, columns=columns)
+            told += [f.iloc[0] for f in machine.handleInputRows((e,), iter([frame] if batch else []), None)] if batch else []
+            assert handle.calls <= 4
+        if want[e][-1] == "abandoned":
+            assert not told and len(handle.timers) == 1
+            told = [f.iloc[0] for f in machine.handleExpiredTimer((e,), None, None)]
+        else:
+            assert not handle.timers
+        assert [(r.turns, r.progress, r.stop_reason) for r in told] == [(want[e][0], want[e][3], want[e][4])]
