@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,19 @@ def test_tallies_are_those_of_all_pairs(spark, monkeypatch, seed, n, wide, least
 
 def test_tallies_of_an_empty_table(spark):
     assert spatial.near_tallies(spark.createDataFrame([], "g long, x double, y double, u double, v double"), ["g"], ["x", "y", "u", "v"], 1.0).collect() == []
+
+
+def test_tallies_compare_a_small_share_of_all_pairs(monkeypatch):
+    """Four times the segments make 16 times the pairs; those that are compared grow by less than 11, and two regions make the whole."""
+    compared = []
+    tiles = spatial.Tally._tiles
+    monkeypatch.setattr(spatial.Tally, "_tiles", lambda self, i, j: compared.append(len(i) * len(j)) or tiles(self, i, j))
+    shares = []
+    for n in (1000, 4000):
+        e = np.random.default_rng(n).normal(0, 50, (n, 4))
+        compared.clear()
+        found = [spatial.Tally(e, np.ones(n, np.int64), np.zeros(n), 0.01, (32, 1024)).run(region, 1) for region in (0, 1)]
+        shares.append(sum(compared))
+        some = range(0, n, n // 20)
+        assert [int(sum(t.crossed[i] + t.near[i] for t in found)) for i in some] == [sum(squared(tuple(e[i]), tuple(f)) < 1e-4 for f in e) for i in some]
+    assert shares[1] < 11 * shares[0]
